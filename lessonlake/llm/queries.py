@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.llm import mixing, simhash
+from lessonlake.llm import bpe, mixing, simhash, topk_bits, vptree
 from lessonlake.llm._shared import read_table
 
 
@@ -15,3 +15,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op3_topk_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_bits.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(read_table(spark, sf_dir, "documents"))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.llm import mixing, queries as q
+from lessonlake.llm import mixing, topk_bits, vptree
+from lessonlake.llm import queries as q
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +16,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": q.op1_mixing,
         "op2_simhash": q.op2_simhash,
+        "op3_topk_bits": q.op3_topk_bits,
+        "op7_vptree": q.op7_vptree,
+        "op9_bpe": q.op9_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op3_topk_bits": topk_bits.ORACLE_SQL, "op7_vptree": vptree.ORACLE_SQL}
