@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.llm import bpe, mixing, simhash, topk_bits, vptree
+from lessonlake.llm import bpe, mixing, simhash, topk_bits, vptree, warc
 from lessonlake.llm._shared import read_table
 
 
@@ -27,3 +27,7 @@ def op7_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))

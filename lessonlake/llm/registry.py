@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.llm import mixing, topk_bits, vptree
+from lessonlake.llm import mixing, topk_bits, vptree, warc
 from lessonlake.llm import queries as q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,11 @@ def queries() -> dict[str, Query]:
         "op1_mixing": q.op1_mixing,
         "op2_simhash": q.op2_simhash,
         "op3_topk_bits": q.op3_topk_bits,
+        "op6_warc": q.op6_warc,
         "op7_vptree": q.op7_vptree,
         "op9_bpe": q.op9_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL, "op3_topk_bits": topk_bits.ORACLE_SQL, "op7_vptree": vptree.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op3_topk_bits": topk_bits.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op7_vptree": vptree.ORACLE_SQL}
