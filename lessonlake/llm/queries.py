@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.llm import bpe, mixing, simhash, topk_bits, vptree, warc
+from lessonlake.llm import bpe, mixing, pii, simhash, topk_bits, vptree, warc
 from lessonlake.llm._shared import read_table
 
 
@@ -31,3 +31,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(read_table(spark, sf_dir, "documents"))

@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op6_warc": q.op6_warc,
         "op7_vptree": q.op7_vptree,
         "op9_bpe": q.op9_bpe,
+        "op10_pii": q.op10_pii,
     }
 
 
