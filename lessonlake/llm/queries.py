@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.llm import bpe, mixing, pii, simhash, topk_bits, vptree, warc
+from lessonlake.llm import bpe, mixing, pii, simhash, topk_bits, toxicity, vptree, warc
 from lessonlake.llm._shared import read_table
 
 
@@ -35,3 +35,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
