@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.llm import bpe, mixing, pii, simhash, topk_bits, toxicity, vptree, warc
+from lessonlake.llm import bpe, mixing, pii, simhash, substring, topk_bits, toxicity, vptree, warc
 from lessonlake.llm._shared import read_table
 
 
@@ -39,3 +39,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(read_table(spark, sf_dir, "documents"))

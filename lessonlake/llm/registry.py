@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_mixing": q.op1_mixing,
         "op2_simhash": q.op2_simhash,
         "op3_topk_bits": q.op3_topk_bits,
+        "op4_substring": q.op4_substring,
         "op5_toxicity": q.op5_toxicity,
         "op6_warc": q.op6_warc,
         "op7_vptree": q.op7_vptree,
