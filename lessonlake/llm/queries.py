@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonlake.llm import bpe, mixing, pii, simhash, substring, topk_bits, toxicity, vptree, warc
+from lessonlake.llm import bpe, ctw, mixing, pii, simhash, substring, topk_bits, toxicity, vptree, warc
 from lessonlake.llm._shared import read_table
 
 
@@ -43,3 +43,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(read_table(spark, sf_dir, "documents"))

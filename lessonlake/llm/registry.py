@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op5_toxicity": q.op5_toxicity,
         "op6_warc": q.op6_warc,
         "op7_vptree": q.op7_vptree,
+        "op8_ctw": q.op8_ctw,
         "op9_bpe": q.op9_bpe,
         "op10_pii": q.op10_pii,
     }
