@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lessonlake.llm._shared import materialize, word_count
+from lessonlake.llm._shared import WORD, materialize, word_count
 
 BUCKETS = 4096
 WEIGHTS = (5, 2, 1)
@@ -51,21 +51,17 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken for every row of ``docs``.
-
-    ``taken`` counts words, repeats included: whole epochs of the source plus the document's part
-    of the last, cut epoch. A source's taken words sum to its target rounded down, and none exceeds
-    ``most`` times its size. Null or empty texts have size 0 and take nothing; null sources form one
-    source, the last; rows with equal doc_id share a key and are ordered by size, equal rows are
-    interchangeable; other columns are ignored; an empty table gives no rows.
-    """
+def _sized(docs: DataFrame) -> DataFrame:
+    """Adds size, the hash-random key, its range, and a source key that is never null."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("key"))
     bucket = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * BUCKETS / 2**32).cast("int")
-    sized = materialize(sized.withColumns({"skey": _source_key(F.col("source")), "bucket": bucket}), "mix-sizes")
+    sized = docs.withColumns({"size": word_count(F.col("text")), "key": digest, "skey": _source_key(F.col("source"))})
+    return sized.withColumn("bucket", bucket)
+
 
-    parts = sized.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("part"))
+def _placed(sized: DataFrame, narrow: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int) -> DataFrame:
+    """``sized`` with source_size, target and taken; ``narrow`` has the same rows without their texts."""
+    parts = narrow.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("part"))
     totals = parts.groupBy("skey").agg(F.first("source").alias("source"), F.sum("part").alias("source_size"))
     goal = targets(totals.select("source", "source_size"), weights, share, most).withColumn("skey", _source_key(F.col("source"))).drop("source")
     sofar = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,11 +69,40 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[
 
     inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("end", F.sum("size").over(inside)).join(base, ["skey", "bucket"])
-    budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
+    rest = F.floor("target") - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("base") + F.col("end") - F.col("size"))))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
+    return placed.withColumn("taken", (epochs * F.col("size") + cut).cast("long"))
+
+
+def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken for every row of ``docs``.
+
+    ``taken`` counts words, repeats included: whole epochs of the source plus the document's part
+    of the last, cut epoch. A source's taken words sum to its target rounded down, and none exceeds
+    ``most`` times its size. Null or empty texts have size 0 and take nothing; null sources form one
+    source, the last; rows with equal doc_id share a key and are ordered by size, equal rows are
+    interchangeable; other columns are ignored; an empty table gives no rows.
+    """
+    sized = materialize(_sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
+    return _placed(sized, sized, weights, share, most).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+    """The mixed corpus, with the columns of ``docs``: one row for each time a document is taken.
+
+    Only where a source's budget ends is a document cut, to its first words joined by one space.
+    Documents that are not taken, and those without words, have no row.
+    """
+    wide = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    placed = _placed(_sized(wide), _sized(docs.select("doc_id", "source", "text")).drop("text"), weights, share, most)
+    whole = F.array_repeat(F.col("size"), F.expr("cast(taken div size as int)"))
+    part = F.expr("taken % size")
+    times = F.when(part > 0, F.concat(whole, F.array(part))).otherwise(whole)
+    taken = placed.where((F.col("size") > 0) & (F.col("taken") > 0)).select("row", "size", F.explode(times).alias("words"))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("row.text"))
+    return taken.select("row.*", text.alias("__text")).withColumn("text", F.col("__text")).drop("__text")
 
 
 ORACLE_SQL = r"""

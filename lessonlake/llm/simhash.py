@@ -50,13 +50,17 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.array([fingerprint(t.as_py()) for t in b.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(found, pa.int64())], names=["doc_id", "tag", "fp"])
+
+
+def _tag() -> F.Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, of every row."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, ``tag`` (a hash of the text) and ``fp``, the fingerprint as a signed long, of every row."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _tag().alias("tag"))
+    return narrow.mapInArrow(_fingerprints, "doc_id long, tag long, fp long")
 
 
 def _near(a: str, b: str, distance: int) -> F.Column:
@@ -90,6 +94,16 @@ def fingerprint_roots(nodes: DataFrame) -> DataFrame:
     return components(stars.unionByName(across)).withColumnRenamed("node", "fp")
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, fp and component_id of every row."""
+    prints = materialize(fingerprints(docs), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp-nodes")
+    roots = fingerprint_roots(nodes.select("fp"))
+    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of ``docs``.
 
@@ -99,11 +113,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     minimum (a component of null ids alone has a null id); other columns are ignored; an empty table
     gives no rows.
     """
-    prints = materialize(fingerprints(docs), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp-nodes")
-    roots = fingerprint_roots(nodes.select("fp"))
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = named.join(ids, "root").select("fp", "component_id")
-    out = prints.join(of_fp, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate component, with all columns: that of the smallest doc_id.
+
+    Of rows that share the smallest id, one of the text with the smallest hash stays.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first")
+    winners = _grouped(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("w_id"), F.col("first.tag").alias("w_tag"))
+    tagged = docs.withColumn("w_tag", _tag())
+    kept = tagged.join(winners, (tagged["w_tag"] == winners["w_tag"]) & F.col("doc_id").cast("long").eqNullSafe(F.col("w_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "w_tag"]).select(*docs.columns)
