@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "t5_search"
+MODULES = ("retrieval_queries",)
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -23,9 +25,17 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
         _ORACLES[name] = oracle
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    for module in MODULES:
+        import_module(f"lessonlake.plans.{module}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
