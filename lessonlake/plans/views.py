@@ -62,7 +62,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "edges_dense": ((), "SELECT DISTINCT caller, callee FROM (SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS callee "
         "FROM lineitem WHERE l_orderkey % 40 = 0) t WHERE callee IS NOT NULL AND caller <> callee"),
     "implements": (("symbols",), "SELECT i.id AS iface, t.id AS impl FROM symbols i JOIN symbols t ON i.signature = t.signature AND i.kind = 'interface' AND t.kind = 'type'"),
-    "hook_events": ((), "SELECT user_id AS session, event_id, {epoch} AS at, ts, "
+    "hook_events": ((), "SELECT user_id AS session, event_id, {epoch} AS sec, ts, "
         "CASE event_type WHEN 'click' THEN 'PostToolUse' WHEN 'view' THEN 'PostToolUse' WHEN 'purchase' THEN 'stage' WHEN 'error' THEN 'Stop' "
         "ELSE CASE WHEN event_id % 10 = 0 THEN 'SessionEnd' ELSE 'SessionStart' END END AS event, "
         "CASE event_type WHEN 'click' THEN 'Edit' WHEN 'view' THEN 'Read' END AS tool, concat('f', {key}) AS path FROM events"),
