@@ -9,6 +9,11 @@ BLANK = r"[\t\n\f\r ]+"
 NOT_WORD = r"[^0-9A-Za-z_\t\n\f\r \-]"
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space on either side; Spark's own trim takes spaces alone."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r\x85\xa0"))
+
+
 def words(text: Column, instead: str) -> Column:
     """Lower-cased words; characters outside word, space and hyphen are replaced."""
     flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), NOT_WORD, instead), BLANK, " "))
@@ -92,7 +97,7 @@ def slug(task_type: Column) -> Column:
 
 def valid_task_type(task_type: Column) -> Column:
     """after trim and lower-casing; 64 bytes at most."""
-    t = F.lower(F.trim(task_type))
+    t = F.lower(trimmed(task_type))
     return t.rlike(r"\A[a-z0-9][a-z0-9._-]*\z") & (F.octet_length(t) <= 64)
 
 
@@ -145,7 +150,7 @@ def hook_path(tool: Column, file_path: Column, notebook_path: Column) -> Column:
 
 def safe_session(session: Column) -> Column:
     """null where it is no safe id."""
-    s = F.trim(session)
+    s = trimmed(session)
     return F.when(s.rlike(r"\A[A-Za-z0-9_-]{1,128}\z"), s)
 
 
@@ -181,7 +186,7 @@ def clamp(limit: Column, default: int, most: int) -> Column:
 
 def type_label(name: Column) -> Column:
     """F29."""
-    return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("untyped"))
+    return F.coalesce(F.nullif(trimmed(name), F.lit("")), F.lit("untyped"))
 
 
 def growth_warnings(size: Column, rows: Column) -> Column:

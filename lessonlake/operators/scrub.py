@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VERSION = 3
 MARGIN, GUARD_SPAN = 16, 64
@@ -143,7 +144,7 @@ def may_match(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-@F.pandas_udf("struct<text:string,counts:map<string,int>>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.IntegerType()))]))
 def _scrub(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     run = Scrubber()
     for texts in batches:
@@ -183,12 +184,12 @@ def offenders(rows: DataFrame, column: str, key: str) -> DataFrame:
 
 def rescrub(rows: DataFrame) -> DataFrame:
     """Every text field redacted anew and the fingerprint recomputed; ``counts`` adds the fields up."""
-    from lessonlake.functions import text as T
+    from lessonlake.functions.text import fingerprint
 
     out = rows
     for field in ("title", "what", "learned"):
         out = scrub(out, field).withColumnRenamed("counts", f"_{field}").drop("redactions")
     counts = fold_reports(fold_reports(F.col("_title"), F.col("_what")), F.col("_learned"))
     fields = F.array_compact(F.array(*[F.when(F.size(f"_{f}") > 0, F.lit(f)) for f in ("title", "what", "learned")]))
-    out = out.withColumns({"counts": counts, "fields_redacted": fields, "fingerprint": T.fingerprint(*[F.col(c) for c in ("task_type", "kind", "title", "learned")])})
+    out = out.withColumns({"counts": counts, "fields_redacted": fields, "fingerprint": fingerprint(*[F.col(c) for c in ("task_type", "kind", "title", "learned")])})
     return out.drop("_title", "_what", "_learned")

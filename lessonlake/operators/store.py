@@ -138,8 +138,8 @@ def context_bundle(requests: DataFrame, memories: DataFrame, index, mode: str =
 
 def validation_error(secret_in: Column | None = None) -> Column:
     """The first failing check as ``field:reason``, null if all pass. ``secret_in`` names a field with a secret."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    checks = [F.when(blank("task_type"), "task_type:required"), F.when(~T.valid_task_type(F.col("task_type")) & (F.octet_length(F.trim("task_type")) <= 64), "task_type:slug"), F.when(~F.col("kind").isin(*KINDS), "kind:unknown")]
+    blank = lambda c: T.trimmed(F.coalesce(F.col(c), F.lit(""))) == ""
+    checks = [F.when(blank("task_type"), "task_type:required"), F.when(~T.valid_task_type(F.col("task_type")) & (F.octet_length(T.trimmed(F.col("task_type"))) <= 64), "task_type:slug"), F.when(~F.col("kind").isin(*KINDS), "kind:unknown")]
     checks += [F.when(blank(c), f"{c}:required") for c in ("title", "what", "learned")]
     checks += [F.when(~F.coalesce("scope", F.lit("personal")).isin(*SCOPES), "scope:unknown"), F.when(~F.coalesce("origin", F.lit("manual")).isin(*ORIGINS), "origin:unknown")]
     checks += [F.when(T.over_cap().isNotNull(), F.concat(T.over_cap(), F.lit(":too_long")))]

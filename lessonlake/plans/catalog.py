@@ -205,7 +205,7 @@ same("w9_package_surface", "SELECT package, id, line, r, hidden FROM (SELECT pac
 # ---- ingest ----------------------------------------------------------------------------------
 _I2 = "substr(what, 1, 190)"
 on("i2_validation", "save_requests", lambda m: m.withColumn("title", F.substring("what", 1, 190)).select("id", S.validation_error().alias("error")),
-   f"SELECT id, CASE WHEN trim({_I2}) = '' THEN 'title:required' WHEN trim(learned) = '' THEN 'learned:required' WHEN strlen({_I2}) > 200 THEN 'title:too_long' END AS error FROM save_requests")
+   rf"SELECT id, CASE WHEN regexp_full_match({_I2}, '[ \t\n\r\f\v]*') THEN 'title:required' WHEN regexp_full_match(learned, '[ \t\n\r\f\v]*') THEN 'learned:required' WHEN strlen({_I2}) > 200 THEN 'title:too_long' END AS error FROM save_requests")
 on("i5_exact_dedupe", "memories", lambda m: S.exact_duplicates(m.withColumn("fingerprint", T.fingerprint(F.col("learned")))),
    f"WITH f AS (SELECT id, created_at, array_to_string(list_sort({_w('learned', '')}), ' ') AS fp FROM memories), k AS (SELECT *, first_value(id) OVER (PARTITION BY fp ORDER BY created_at, id) AS first FROM f) SELECT id, CASE WHEN id = first THEN 'saved' ELSE 'duplicate' END AS status, CASE WHEN id <> first THEN first END AS matched_id FROM k")
 on("i7_force", "memories", lambda m: S.merge_forced(m, m.where("doc_id % 11 = 0").select("fingerprint", F.lower("title").alias("title"), "what", F.reverse("learned").alias("learned"), "tags", F.lit("shared").alias("scope"), F.lit(NOW).cast("long").alias("updated_at"))).select("id", "title", "learned", "scope", "created_at", "updated_at"),
