@@ -183,7 +183,7 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; of overlapping spans, the first to start names the whole."""
-    found = find_spans(docs)
+    found = find_spans(docs.select(F.struct(*docs.columns).alias("packed"), "text"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     order = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     text = F.col("text")
@@ -195,4 +195,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(order, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text)).select(*docs.columns)
+    shown = F.when(F.size("spans") > 0, clean).otherwise(text).alias("text")
+    return found.select(*[shown if c == "text" else F.col("packed")[c].alias(c) for c in docs.columns])

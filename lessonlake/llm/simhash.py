@@ -123,6 +123,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first")
     winners = _grouped(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("w_id"), F.col("first.tag").alias("w_tag"))
-    tagged = docs.withColumn("w_tag", _tag())
-    kept = tagged.join(winners, (tagged["w_tag"] == winners["w_tag"]) & F.col("doc_id").cast("long").eqNullSafe(F.col("w_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "w_tag"]).select(*docs.columns)
+    # packed, so that no column of the table can clash with those of the join
+    packed = docs.select(F.struct(*docs.columns).alias("packed"), F.col("doc_id").cast("long").alias("p_id"), _tag().alias("p_tag"))
+    kept = packed.join(winners, (F.col("p_tag") == F.col("w_tag")) & F.col("p_id").eqNullSafe(F.col("w_id")), "left_semi")
+    return kept.dropDuplicates(["p_id", "p_tag"]).select("packed.*")

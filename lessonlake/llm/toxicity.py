@@ -213,7 +213,7 @@ def _marker(chosen: dict[int, int], background: np.ndarray, weights: np.ndarray,
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (scored,) = inner(iter([b]))
+            (scored,) = inner(iter([b.select(["text"])]))
             yield b.filter(pa.array(np.asarray(scored.column("score")) < THRESHOLD))
 
     return keep
