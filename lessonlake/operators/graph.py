@@ -117,3 +117,31 @@ def satisfied(needs: DataFrame, has: DataFrame) -> DataFrame:
 def dispatch(calls: DataFrame, implements: DataFrame, methods: DataFrame) -> DataFrame:
     """(caller, callee): calls of an interface's method (caller, iface, method) reach that method (id, impl, method) of all implementers."""
     return calls.join(implements, "iface").join(methods, ["impl", "method"]).select("caller", F.col("id").alias("callee")).where("caller <> callee").distinct()
+
+
+def with_methods(types: DataFrame, methods: DataFrame) -> DataFrame:
+    """Types with a method whose qname continues the type's; a method's dotted prefixes make it an equality semi join."""
+    parts = F.split("qname", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    owners = methods.where(F.size(parts) > 1).select(F.explode(prefixes).alias("qname"))
+    return types.join(owners, "qname", "left_semi")
+
+
+def edge_totals(starts: DataFrame, edges: DataFrame, up: bool = True, cap: int = CAP) -> DataFrame:
+    """(id, total) of direct neighbours where they are more than ``cap``."""
+    found = starts.select("id").join(_steps(edges, up), "id").groupBy("id").agg(F.countDistinct("next").alias("total"))
+    return found.where(F.col("total") > cap)
+
+
+def describe(requests: DataFrame, symbols: DataFrame, edges: DataFrame, implements: DataFrame) -> DataFrame:
+    """Per request (query_id, name): the symbol and its hint, ``ambiguous`` for several, a menu of similar symbols for none."""
+    from lessonlake.operators.retrieval import symbol_search
+
+    found = resolve(requests, symbols)
+    clear = found.where("NOT ambiguous")
+    told = clear.join(hints(symbols.join(clear.select("id").distinct(), "id", "left_semi"), edges, implements), "id").select("query_id", "id", F.lit("symbol").alias("answer"), "hint")
+    none = F.lit(None).cast("long").alias("hint")
+    several = found.where("ambiguous").select("query_id", "id", F.lit("ambiguous").alias("answer"), none)
+    lost = requests.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("name").alias("query"))
+    menu = symbol_search(lost, symbols.withColumn("doc", F.lit(""))).select("query_id", "id", F.lit("menu").alias("answer"), none)
+    return told.unionByName(several).unionByName(menu)

@@ -208,3 +208,29 @@ def index_difference(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Postings that only one side has, counted by side."""
     lost = rebuilt.exceptAll(stored).select(F.lit("missing").alias("side"))
     return lost.unionByName(stored.exceptAll(rebuilt).select(F.lit("stale").alias("side"))).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def upsert(rows: DataFrame) -> DataFrame:
+    """I8: one row for each fingerprint: body and update time of the last arrival, id, origin and creation of the first."""
+    order = F.struct("created_at", "id")
+    first = [F.min_by(c, order).alias(c) for c in ("id", "origin", "created_at")]
+    last = [F.max_by(c, order).alias(c) for c in ("title", "what", "learned", "tags", "updated_at")]
+    return rows.groupBy("fingerprint").agg(*first, *last)
+
+
+def ingest(requests: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(id, status, matched_id, error) of requests in order of arrival: invalid, duplicate, near_duplicate or saved.
+
+    Nothing is written, so this is also the dry run (I10); the caller appends the saved rows.
+    """
+    from lessonlake.operators import dedupe
+
+    checked = requests.withColumns({"error": validation_error(), "fingerprint": T.fingerprint(*[F.col(c) for c in ("task_type", "kind", "title", "learned")])})
+    bad = checked.where("error IS NOT NULL").select("id", F.lit("invalid").alias("status"), F.lit(None).cast("string").alias("matched_id"), "error")
+    fine = checked.where("error IS NULL")
+    exact = exact_duplicates(fine)
+    fresh = fine.join(exact.where("status = 'saved'").select("id"), "id", "left_semi")
+    near = dedupe.near_duplicates(fresh, threshold).select("id", F.col("matched_id").alias("near_id"))
+    told = exact.join(near, "id", "left")
+    status = F.when(F.col("near_id").isNotNull(), "near_duplicate").otherwise(F.col("status"))
+    return bad.unionByName(told.select("id", status.alias("status"), F.coalesce("near_id", "matched_id").alias("matched_id"), F.lit(None).cast("string").alias("error")))

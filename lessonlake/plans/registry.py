@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "t5_search"
-MODULES = ("retrieval_queries", "catalog", "graph_queries", "session_queries")
+MODULES = ("retrieval_queries", "catalog", "graph_queries", "session_queries", "more_queries")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
