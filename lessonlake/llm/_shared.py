@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonlake.sources.shared import drop_table, materialize, shared_dir, shared_path
 
-__all__ = ["LOWER", "WORD", "drop_table", "held_out", "materialize", "read_table", "shared_dir", "shared_path", "word_count"]
+__all__ = ["LOWER", "WORD", "drop_table", "held_out", "materialize", "read_table", "shared_dir", "shared_path", "texts", "word_count"]
 
 #: A word in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +22,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """The texts of a batch one after another, so that a batch is never held twice."""
+    for t in batch.column("text"):
+        yield t.as_py()
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm._shared import drop_table, materialize
+from lessonlake.llm._shared import drop_table, materialize, texts
 
 WINDOW = 20
 GRAM = 5
@@ -128,9 +128,11 @@ def cut(text: str | None, places: list[int] | None) -> tuple[int, int, list[byte
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        done = [cut(t, p) for t, p in zip(b.column("text").to_pylist(), b.column("places").to_pylist(), strict=True)]
-        shas = [hashlib.sha256(b" ".join(kept)).hexdigest() for _, _, kept in done]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _, _ in done], pa.int64()), pa.array([r for _, r, _ in done], pa.int64()), pa.array(shas)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        done = []
+        for text, places in zip(texts(b), b.column("places"), strict=True):
+            n, removed, kept = cut(text, places.as_py())
+            done.append((n, removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _, _ in done], pa.int64()), pa.array([r for _, r, _ in done], pa.int64()), pa.array([s for _, _, s in done], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _start(place: str) -> Column:
@@ -149,9 +151,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, tag, places) of every document with words to remove."""
-    texts = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     row = "a long, c long, doc long, place long"
-    spots = materialize(texts.select("text", "doc", "tag").mapInArrow(_occurrences, row), "anchors")
+    spots = materialize(keyed.select("text", "doc", "tag").mapInArrow(_occurrences, row), "anchors")
     by_anchor = spots.groupBy("a").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1")
     shared = materialize(spots.join(by_anchor.select("a", "mixed"), "a"), "shared-anchors")
     drop_table(spots)
@@ -165,7 +167,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     tag = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")
     heads = classes.where("mixed").select("first.doc", "first.place")
     wanted = heads.groupBy("doc", tag).agg(F.collect_list("place").alias("places"))
-    single = materialize(texts.join(wanted, ["doc", "tag"]).select("text", "doc", "tag", "places").mapInArrow(_windows, row), "windows")
+    single = materialize(keyed.join(wanted, ["doc", "tag"]).select("text", "doc", "tag", "places").mapInArrow(_windows, row), "windows")
     first_of = single.groupBy("a", "c").agg(earliest, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     more = single.join(first_of, ["a", "c"]).where(_earlier("doc", "place")).select("doc", "place")
     spans = copies.unionByName(more)
@@ -183,6 +185,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     no rows.
     """
     spans = repeats(docs)
-    texts = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    joined = texts.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "places")
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    joined = keyed.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "places")
     return joined.mapInArrow(_cutter, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm._shared import held_out, materialize
+from lessonlake.llm._shared import held_out, materialize, texts
 
 MODULUS = 3
 THRESHOLD = 0.7
@@ -54,7 +54,7 @@ class Counts:
             found = [self.chosen[f] for f in found if f in self.chosen]
         if len(self.known) > _CACHED:
             self.known.clear()
-        self.known[word] = found
+        self.known[word] = found or ()
         return found
 
     def __call__(self, text: str | None) -> tuple[int, Counter]:
@@ -71,7 +71,7 @@ class Counts:
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count, sums, words = Counts(), np.zeros((3, BUCKETS), np.int64), 0
     for b in batches:
-        for text, positive in zip(b.column("text").to_pylist(), b.column("positive").to_pylist(), strict=True):
+        for text, positive in zip(texts(b), b.column("positive").to_pylist(), strict=True):
             n, total = count(text)
             at = np.fromiter(total, np.int64, len(total))
             if positive:
@@ -95,7 +95,7 @@ def _sparse(chosen: dict[int, int], background: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counts(chosen)
         for b in batches:
-            found = [_values(count, background, t) for t in b.column("text").to_pylist()]
+            found = [_values(count, background, t) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float64()))], names=["positive", "at", "v"])
 
     return rows
@@ -181,7 +181,7 @@ def _scorer(chosen: dict[int, int], background: np.ndarray, weights: np.ndarray,
         count = Counts(chosen)
         for b in batches:
             out = []
-            for text in b.column("text").to_pylist():
+            for text in texts(b):
                 at, v = _values(count, background, text)
                 out.append(float(1 / (1 + np.exp(-np.clip(v @ weights[at] + bias, -50, 50)))))
             keep = [c for c in b.schema.names if c != "text"]
