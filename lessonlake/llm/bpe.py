@@ -13,6 +13,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SHIFT = 32
 _NO_RANK = np.int64(1 << 40)
 #: A task forgets its encoded words beyond this many, which bounds memory and changes no result.
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 19
 
 
 def byte_symbols() -> list[str]:
@@ -43,7 +44,8 @@ class WordBpe:
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.last = np.array([vocab[s + end] for s in symbols], np.int64)
@@ -52,12 +54,12 @@ class WordBpe:
         keys = left << _SHIFT | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
-        self.names = [str(i) for i in range(max(self.tokens) + 1)]
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.spaces = regex.compile(f"[{_SPACE}]+")
         self.controls = regex.compile(r"[\x1c-\x1f]")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
 
     def split(self, text: str) -> list[str]:
         """Compose, lower-case each character by itself (no final sigma) and split at white space."""
@@ -76,8 +78,8 @@ class WordBpe:
             found += [part] if part in self.special else self.split(part)
         return found
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word (UTF-8, not empty)."""
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words (UTF-8, not empty) in one array, and the end of each word's ids there."""
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         sym = self.inner[flat]
@@ -104,31 +106,33 @@ class WordBpe:
             sym, word = sym[live], word[live]
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         sym = sym[np.argsort(word, kind="stable")]
-        return np.split(sym, np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+        return sym, np.cumsum(np.bincount(word, minlength=len(words)))
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that are not known yet, all in one batch. No piece reaches over a space."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         new = [w for w in set(words) if w not in self.known]
-        self.known |= {w: (self.special[w],) for w in new if w in self.special}
-        plain = [(w, self.pieces.findall(w)) for w in new if w not in self.special]
-        pieces = [p.encode("utf-8", "surrogatepass") for _, found in plain for p in found]
-        ids = iter(self.merge(pieces)) if pieces else iter(())
-        for w, found in plain:
-            self.known[w] = tuple(i for _ in found for i in next(ids).tolist())
+        self.known |= {w: [self.special[w]] for w in new if w in self.special}
+        plain = [w for w in new if w not in self.special]
+        found = [self.pieces.findall(w) for w in plain]
+        pieces = [p.encode("utf-8", "surrogatepass") for f in found for p in f]
+        flat, ends = self.merge(pieces) if pieces else (np.empty(0, np.int64), np.empty(0, np.int64))
+        at = np.append(0, ends)[np.cumsum([0, *map(len, found)])].tolist()
+        ids = flat.tolist()
+        self.known |= {w: ids[a:b] for w, a, b in zip(plain, at[:-1], at[1:], strict=True)}
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        """Token ids of each text, in order."""
-        for text in texts:
-            words = self.words(text)
-            self.learn(words)
-            known = self.known
-            yield [i for w in words for i in known[w]]
+        """Token ids of each text, in order; the new words of all texts are merged together."""
+        words = [self.words(t) for t in texts]
+        self.learn(chain.from_iterable(words))
+        known = self.known
+        for found in words:
+            yield [*chain.from_iterable(map(known.__getitem__, found))]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of ``ids``, space-joined: this vocabulary's file names no decoder."""
-        return " ".join([self.tokens[i] for i in ids])
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 def _encoder(shared) -> object:
@@ -142,7 +146,7 @@ def _encoder(shared) -> object:
                     [
                         part.column("doc_id"),
                         pa.array([len(i) for i in ids], pa.int64()),
-                        pa.array([hashlib.sha256(" ".join([bpe.names[j] for j in i]).encode()).hexdigest() for i in ids]),
+                        pa.array([hashlib.sha256(" ".join(map(bpe.names.__getitem__, i)).encode()).hexdigest() for i in ids]),
                         pa.array([hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids]),
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
