@@ -13,24 +13,23 @@ from pyspark.sql import DataFrame
 
 from lessonlake.llm.cells import block_search, usable
 
-LEAF = 48
-#: Relative slack for the rounding of distances in the pruning test.
+LEAF = 128
+#: Relative slack for the rounding of distances in pruning tests.
 _SLACK = 1e-9
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of ``a`` to all of ``b``, each summed in the order of the dimensions."""
-    total = np.zeros((len(a), len(b)))
+    """Euclidean distance of each row of ``a`` to the same row of ``b``, summed in the order of the dimensions."""
+    total = np.zeros(len(a))
     for d in range(a.shape[1]):
-        diff = a[:, d, None] - b[None, :, d]
-        diff *= diff
-        total += diff
+        diff = a[:, d] - b[:, d]
+        total += diff * diff
     return np.sqrt(total)
 
 
 class VpTree:
     def __init__(self, ids: np.ndarray, v: np.ndarray, leaf: int = LEAF) -> None:
-        self.ids, self.v = ids, v
+        self.ids, self.v, self.squares = ids, v, np.einsum("ij,ij->i", v, v)
         self.root = self._build(np.arange(len(ids)), leaf)
 
     def _build(self, rows: np.ndarray, leaf: int) -> tuple:
@@ -38,7 +37,7 @@ class VpTree:
             return (rows,)
         # of a few spread rows, the one with the widest distances splits best
         tries = rows[np.linspace(0, len(rows) - 1, 5).astype(int)]
-        far = distances(self.v[tries], self.v[rows])
+        far = np.stack([np.linalg.norm(self.v[rows] - self.v[t], axis=1) for t in tries])
         best = int(np.argmax(far.std(axis=1)))
         radius = float(np.median(far[best]))
         inside = far[best] <= radius
@@ -57,20 +56,31 @@ class VpTree:
         at, slot = np.nonzero(np.isfinite(self.near))
         return at, self.who[at, slot], self.near[at, slot]
 
+    def _visit(self, rows: np.ndarray, mine: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> None:
+        """Offer ``rows`` to the queries ``mine``; a matrix product, with slack, tells which pairs are worth an exact distance."""
+        scale = self.squares[rows][None, :] + np.einsum("ij,ij->i", q[mine], q[mine])[:, None]
+        square = scale - 2 * (q[mine] @ self.v[rows].T)
+        worth = (square <= self.near[mine, -1][:, None] ** 2 + _SLACK * scale) & (self.ids[rows][None, :] != qids[mine][:, None])
+        some = np.flatnonzero(worth.any(axis=1))
+        if not len(some):
+            return
+        worth, mine = worth[some], mine[some]
+        i, j = np.nonzero(worth)
+        d = np.full(worth.shape, np.inf)
+        d[i, j] = distances(q[mine[i]], self.v[rows[j]])
+        d, ids = np.hstack([self.near[mine], d]), np.hstack([self.who[mine], np.broadcast_to(self.ids[rows], worth.shape)])
+        order = np.lexsort((ids, d), axis=1)[:, :k]
+        self.near[mine], self.who[mine] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+
     def _walk(self, node: tuple, mine: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, factor: float) -> None:
         if not len(mine):
             return
         if len(node) == 1:
             for at in range(0, len(node[0]), 512):
-                rows = node[0][at : at + 512]
-                d, ids = distances(q[mine], self.v[rows]), np.broadcast_to(self.ids[rows], (len(mine), len(rows)))
-                d = np.where(ids == qids[mine, None], np.inf, d)
-                d, ids = np.hstack([self.near[mine], d]), np.hstack([self.who[mine], ids])
-                order = np.lexsort((ids, d), axis=1)[:, :k]
-                self.near[mine], self.who[mine] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+                self._visit(node[0][at : at + 512], mine, qids, q, k)
             return
         point, radius, inner, outer = node
-        d = distances(q[mine], self.v[[point]])[:, 0]
+        d = np.linalg.norm(q[mine] - self.v[point], axis=1)
         close = d <= radius
         self._walk(inner, mine[close], qids, q, k, factor)
         self._walk(outer, mine[~close], qids, q, k, factor)
