@@ -154,7 +154,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     row = "a long, c long, doc long, place long"
     spots = materialize(keyed.select("text", "doc", "tag").mapInArrow(_occurrences, row), "anchors")
+    # written first: a join can split a hot key only where no aggregate stands between it and its shuffle
     by_anchor = spots.groupBy("a").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1")
+    by_anchor = materialize(by_anchor, "repeated-anchors")
     shared = materialize(spots.join(by_anchor.select("a", "mixed"), "a"), "shared-anchors")
     drop_table(spots)
 
@@ -169,6 +171,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = heads.groupBy("doc", tag).agg(F.collect_list("place").alias("places"))
     single = materialize(keyed.join(wanted, ["doc", "tag"]).select("text", "doc", "tag", "places").mapInArrow(_windows, row), "windows")
     first_of = single.groupBy("a", "c").agg(earliest, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first_of = materialize(first_of, "first-windows")
     more = single.join(first_of, ["a", "c"]).where(_earlier("doc", "place")).select("doc", "place")
     spans = copies.unionByName(more)
     return materialize(spans.groupBy("doc", tag).agg(F.collect_set("place").alias("places")), "repeats")
