@@ -7,10 +7,11 @@ its children's mixture, with weights that follow from the block probabilities of
     Pw(node) = 1/2 Pkt(node) + 1/2 prod Pw(children)
 
 Training text is what the learning documents hold: lower-cased words joined by one space, then an
-end byte. Its (DEPTH+1)-byte sequences are counted over all of it in Spark; the tree is built from
-the counts. For a model of bounded size, each depth keeps its ``MAX_GRAMS`` most frequent sequences
-whole groups of equal counts at a time; what a node's missing children saw is one further child, so
-that every node still accounts for all of its training bytes and probabilities sum to one.
+end byte. All of its (DEPTH+1)-byte sequences make the tree, however many there are, so the tree is
+held nowhere whole. Contexts longer than ``TOP`` bytes are dealt out by their last ``TOP`` + 1 bytes,
+which keeps every such node with all its children in one task; what these subtrees add up to makes the
+top, whose size has a bound that no input moves. The tasks that hold the subtrees score the sequences
+that blocks of texts ask for, and the answers go back to the blocks.
 """
 
 from __future__ import annotations
@@ -21,26 +22,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm._shared import LOWER, drop_table, held_out, materialize
+from lessonlake.llm._shared import LOWER, held_out, materialize, texts
 
 MODULUS = 5
 DEPTH = 5
-MAX_GRAMS = 400_000
+#: Contexts up to this length are one small tree (256**3 contexts and bytes at most); longer ones are dealt out.
+TOP = 2
 #: Vocabularies up to this many words go to the executors whole (16 bytes a word); larger ones are joined.
 MAX_WORDS = 6_000_000
 _CHUNK = 4 << 20
-_MEMO = 1 << 21
+#: Bytes of text that ask for their sequences together, and sequences asked for in a task that scores them.
+_BLOCK = 24 << 20
+_ASKED = 1 << 19
 _WORDS_HELD = 200_000
 _END = b"\n"
 _SMALL = np.array([math.lgamma(k + 0.5) for k in range(256)])
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+def words(text: str | bytes | None) -> list[bytes]:
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return raw.translate(LOWER).split()
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +65,13 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g, sizes
 
 
-def _chunks(texts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about _CHUNK bytes."""
-    start = size = 0
-    for i, w in enumerate(texts):
-        size += sum(map(len, w)) + len(w)
-        if size >= _CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about _CHUNK bytes of text, so that its words are never all held at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+    cuts = np.flatnonzero(np.diff(ends // _CHUNK)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 def _merge(kept: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,37 +79,56 @@ def _merge(kept: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarra
     return g, np.bincount(back, np.concatenate((kept[1], new[1])), len(g)).astype(np.int64)
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(gram: np.ndarray | None, word: list[bytes] | None, n: list | np.ndarray) -> pa.RecordBatch:
-        count = pa.array(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()) if gram is None else pa.array(gram, pa.int64()), pa.nulls(len(n), pa.binary()) if word is None else pa.array(word, pa.binary()), count], names=["gram", "word", "n"])
+_TALLY = "kind int, block long, row long, doc_id long, held_out boolean, text binary, gram long, word binary, n long"
+_TEXT, _GRAM, _WORD, _DOCS = range(4)
 
-    none = np.empty(0, np.int64)
-    docs, vocabulary, held, waiting = 0, Counter(), (none, none), []
-    for b in batches:
-        texts = [words(t) for t in b.column("text").to_pylist()]
-        docs += len(texts)
-        for lo, hi in _chunks(texts):
-            for w in texts[lo:hi]:
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cleaned texts in blocks; each block's sequences with their counts in learning texts; learning words and documents."""
+    from pyspark import TaskContext
+
+    fields = {"kind": pa.int32(), "block": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.binary(), "gram": pa.int64(), "word": pa.binary(), "n": pa.int64()}
+
+    def rows(kind: int, size: int, **columns) -> pa.RecordBatch:
+        columns["kind"] = np.full(size, kind)
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in fields.items()], names=[*fields])
+
+    at = TaskContext.get().partitionId() << 33
+    block, row, docs, size, vocabulary, waiting = at, at, 0, 0, Counter(), []
+
+    def asked() -> Iterator[pa.RecordBatch]:
+        if not waiting:
+            return
+        gram, count = _merge(*(tuple(map(np.concatenate, zip(*half, strict=True))) for half in (waiting[::2], waiting[1::2])))
+        for lo in range(0, len(gram), 1 << 18):
+            g, n = gram[lo : lo + (1 << 18)], count[lo : lo + (1 << 18)]
+            yield rows(_GRAM, len(g), block=np.full(len(g), block), gram=g, n=n)
+
+    for b in (c for batch in batches for c in _chunks(batch)):
+        out = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        part = []
+        for text, held in zip(texts(b), out, strict=True):
+            w = words(text)
+            part.append(b" ".join(w))
+            if not held:
                 vocabulary.update(w)
-            waiting.append(np.unique(grams([b" ".join(w) + _END for w in texts[lo:hi]])[0], return_counts=True))
-            if sum(len(g) for g, _ in waiting) > _MEMO:
-                for new in waiting:
-                    held = _merge(held, new)
-                waiting = []
-            if len(held[0]) > _MEMO:
-                yield rows(held[0], None, held[1])
-                held = (none, none)
-            if len(vocabulary) > _WORDS_HELD:
-                yield rows(None, [*vocabulary], [*vocabulary.values()])
-                vocabulary = Counter()
-    for new in waiting:
-        held = _merge(held, new)
-    for at in range(0, len(held[0]), 1 << 18):
-        yield rows(held[0][at : at + (1 << 18)], None, held[1][at : at + (1 << 18)])
+        yield rows(_TEXT, len(part), block=np.full(len(part), block), row=np.arange(row, row + len(part)), doc_id=b.column("doc_id"), held_out=out, text=part)
+        row += len(part)
+        docs += int((~out).sum())
+        for kind in (False, True):  # held-out texts ask, but do not count
+            g, n = np.unique(grams([t + _END for t, held in zip(part, out, strict=True) if held == kind])[0], return_counts=True)
+            waiting.append((g, np.zeros(len(g), np.int64) if kind else n))
+        size += sum(map(len, part)) + len(part)
+        if size >= _BLOCK:
+            yield from asked()
+            block, size, waiting = block + 1, 0, []
+        if len(vocabulary) > _WORDS_HELD:
+            yield rows(_WORD, len(vocabulary), word=[*vocabulary], n=[*vocabulary.values()])
+            vocabulary = Counter()
+    yield from asked()
     if vocabulary:
-        yield rows(None, [*vocabulary], [*vocabulary.values()])
-    yield rows(None, None, [docs])
+        yield rows(_WORD, len(vocabulary), word=[*vocabulary], n=[*vocabulary.values()])
+    yield rows(_DOCS, 1, n=[docs])
 
 
 def _lgamma_half(k: np.ndarray) -> np.ndarray:
@@ -130,24 +152,29 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Nodes of all depths for each of the eight decisions, from counts of the kept sequences.
+    """Nodes of all depths for each of the eight decisions, from counts of sequences.
 
-    ``levels[d]`` holds sorted (d+1)-byte sequences and their counts. A node's key is its context and
-    the bits so far; for each it keeps the weight of its own estimate, the estimate, and that of the
-    children which are not kept.
+    ``levels[i]`` holds sorted (d+1)-byte sequences and their counts, d being ``low`` + i. A node's key
+    is its context and the bits so far; for each it keeps the weight of its own estimate, the estimate,
+    and that of the children which are not kept. ``below[j]`` is what the children of the last level
+    add up to, when they are elsewhere: keys of that level, zeros, ones, log weighted probability.
+    ``sums[j]`` is the same for whoever holds the level before the first.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.nodes = [self._decision(levels, j) for j in range(8)]
-        top = levels[-1][0]
-        self.known, self.known_log = top, self._evaluate(top)
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], low: int = 0, below: list[tuple[np.ndarray, ...]] | None = None) -> None:
+        self.low, self.nodes, self.sums = low, [], []
+        for j in range(8):
+            nodes, (key, n0, n1, weighted) = self._decision(levels, j, low, below and below[j])
+            self.nodes.append(nodes)
+            if low:
+                parent, back = np.unique(key & ((1 << (8 * (low - 1) + j)) - 1), return_inverse=True)
+                self.sums.append((parent, *(np.bincount(back, x, len(parent)).astype(x.dtype) for x in (n0, n1, weighted))))
 
     @staticmethod
-    def _decision(levels: list[tuple[np.ndarray, np.ndarray]], j: int) -> list[tuple[np.ndarray, ...]]:
+    def _decision(levels: list[tuple[np.ndarray, np.ndarray]], j: int, low: int, below: tuple[np.ndarray, ...] | None) -> tuple[list[tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]:
         out: list[tuple[np.ndarray, ...]] = []
-        below = None
-        for d in range(len(levels) - 1, -1, -1):
-            gram, count = levels[d]
+        for d in range(low + len(levels) - 1, low - 1, -1):
+            gram, count = levels[d - low]
             key = gram >> (8 - j)
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
             one = gram >> (7 - j) & 1
@@ -168,102 +195,105 @@ class Tree:
                 weighted = np.logaddexp(own, children) - math.log(2)
                 share = np.exp(own - math.log(2) - weighted)
             below = key, n0, n1, weighted
-            out.append((key, share.astype(np.float32), ((n1 + 0.5) / (n + 1)).astype(np.float32), ((r1 + 0.5) / (r0 + r1 + 1)).astype(np.float32)))
-        return out[::-1]
+            out.append((key, share, (n1 + 0.5) / (n + 1), (r1 + 0.5) / (r0 + r1 + 1)))
+        return out[::-1], below
 
-    def _evaluate(self, g: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(g))
+    def chances(self, g: np.ndarray, below: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each decision, the probability of the bit that each sequence's last byte has and whether the context has a node.
+
+        ``below`` is the same from the depths after this tree's.
+        """
+        out = []
         for j, depths in enumerate(self.nodes):
-            p, there = np.zeros(len(g)), np.zeros(len(g), bool)
-            for d in range(len(depths) - 1, -1, -1):
-                key, share, own, other = depths[d]
+            one = (g >> (7 - j) & 1).astype(bool)
+            p, there = below[j] if below else (np.zeros(len(g)), np.zeros(len(g), bool))
+            for d in range(self.low + len(depths) - 1, self.low - 1, -1):
+                key, share, own, other = depths[d - self.low]
                 if not len(key):
                     continue
                 want = g >> (8 - j) & ((1 << (8 * d + j)) - 1)
                 at = np.minimum(np.searchsorted(key, want), len(key) - 1)
                 hit = key[at] == want
-                mixed = share[at] * own[at].astype(float) + (1 - share[at].astype(float)) * np.where(there, p, other[at])
+                bit = lambda x: np.where(one, x, 1 - x)  # noqa: B023, E731
+                mixed = share[at] * bit(own[at]) + (1 - share[at]) * np.where(there, p, bit(other[at]))
                 p, there = np.where(hit, mixed, 0), hit
-            p = np.where(there, p, 0.5)
-            total += np.log10(np.where(g >> (7 - j) & 1, p, 1 - p))
-        return total
-
-    def log10(self, g: np.ndarray) -> np.ndarray:
-        """log10 probability of each sequence's last byte after the others; ``g`` is sorted."""
-        out = np.empty(len(g))
-        at = np.minimum(np.searchsorted(self.known, g), max(0, len(self.known) - 1))
-        hit = self.known[at] == g if len(self.known) else np.zeros(len(g), bool)
-        out[hit] = self.known_log[at[hit]] if hit.any() else 0
-        if not hit.all():
-            out[~hit] = self._evaluate(g[~hit])
+            out.append((p, there))
         return out
 
+    def log10(self, g: np.ndarray, below: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """log10 probability of each sequence's last byte after the others."""
+        total = np.zeros(len(g))
+        for p, there in self.chances(g, below):
+            total += np.log10(np.where(there, p, 0.5))
+        return total
 
-class Scorer:
-    """Scores texts with a tree and remembers, within bounds, the sequences met so far."""
-
-    def __init__(self, tree: Tree) -> None:
-        self.tree, self.seen, self.seen_log = tree, np.empty(0, np.int64), np.empty(0)
-
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        g, sizes = grams(texts)
-        distinct, back = np.unique(g, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.seen, distinct), max(0, len(self.seen) - 1))
-        hit = self.seen[at] == distinct if len(self.seen) else np.zeros(len(distinct), bool)
-        log = np.empty(len(distinct))
-        log[hit] = self.seen_log[at[hit]] if hit.any() else 0
-        new = distinct[~hit]
-        if len(new):
-            log[~hit] = found = self.tree.log10(new)
-            if len(self.seen) > _MEMO:
-                self.seen, self.seen_log = new, found
-            else:
-                place = np.searchsorted(self.seen, new)
-                self.seen, self.seen_log = np.insert(self.seen, place, new), np.insert(self.seen_log, place, found)
-        return np.add.reduceat(log[back], np.append(0, np.cumsum(sizes)[:-1]))
-
-
-def _levels(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The kept sequences of each depth; shorter ones are kept wherever a longer one is."""
-    depth = F.explode(F.sequence(F.lit(0), F.lit(DEPTH)))
-    every = counts.select("gram", "n", depth.alias("d"))
-    short = F.col("gram").bitwiseAND(F.when(F.col("d") == 7, F.lit(-1)).otherwise(F.expr("shiftleft(1L, 8 * (d + 1)) - 1")))
-    totals = materialize(every.groupBy("d", short.alias("g")).agg(F.sum("n").alias("n")), "ctw-counts")
-    # at most 64 size classes a depth decide how far down the counts go
-    sizes = totals.groupBy("d", F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count(F.lit(1)).alias("rows")).collect()
-    least, chosen = 0, F.lit(False)
-    for d in range(DEPTH + 1):
-        rows = {r["size"]: r["rows"] for r in sizes if r["d"] == d}
-        kept, size = 0, max(rows, default=0) + 1
-        while size > 0 and kept + rows.get(size - 1, 0) <= MAX_GRAMS:
-            size -= 1
-            kept += rows.get(size, 0)
-        least = max(least, size)
-        chosen = chosen | ((F.col("d") == d) & (F.col("n") >= (1 << least)))
-    table = totals.where(chosen).toArrow()
-    d, g, n = (table.column(c).to_numpy() for c in ("d", "g", "n"))
+
+def _levels(gram: np.ndarray, n: np.ndarray, low: int, high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Levels ``low`` to ``high`` from counted sequences that are long enough."""
     out = []
-    for k in range(DEPTH + 1):
-        gk, nk = g[d == k], n[d == k]
-        order = np.argsort(gk)
-        out.append((gk[order], nk[order]))
+    for d in range(low, high + 1):
+        short, back = np.unique(gram & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        out.append((short, np.bincount(back, n, len(short)).astype(np.int64)))
     return out
 
 
-def _score_texts(shared, vocabulary, n: int, v: int, docs: int):
-    """The scoring function; ``vocabulary`` (sorted word hashes, counts) may be None, which leaves the base columns out."""
+def _subtree(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, Tree]:
+    """What the blocks ask of a task, as it came (block, sequence), and the tree of the depths after TOP."""
+    table = pa.Table.from_batches(list(batches), pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())]))
+    block, asked, n = (table.column(c).to_numpy() for c in ("block", "gram", "n"))
+    gram, count = _merge((asked[n > 0], n[n > 0]), (np.empty(0, np.int64), np.empty(0, np.int64)))
+    return block, asked, Tree(_levels(gram, count, TOP + 1, DEPTH), TOP + 1)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for j, columns in enumerate(_subtree(batches)[2].sums):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), j, np.int32)), *map(pa.array, columns)], names=["j", "key", "n0", "n1", "weighted"])
+
+
+def _top(asked: DataFrame) -> Tree:
+    """The tree of contexts of up to TOP bytes; its size depends on the number of different bytes alone."""
+    sums = asked.mapInArrow(_sums, "j int, key long, n0 long, n1 long, weighted double")
+    # decimals, so that the sum does not depend on the order of the tasks
+    table = sums.groupBy("j", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.col("weighted").cast("decimal(28,9)")).cast("double").alias("weighted")).toArrow()
+    j, key, n0, n1, weighted = (table.column(c).to_numpy() for c in ("j", "key", "n0", "n1", "weighted"))
+    below = []
+    for k in range(8):
+        at = np.flatnonzero(j == k)
+        at = at[np.argsort(key[at])]
+        below.append((key[at], n0[at], n1[at], weighted[at]))
+    key, n0, n1, _ = below[7]
+    gram, n = np.concatenate((key << 1, key << 1 | 1)), np.concatenate((n0, n1))
+    return Tree(_levels(gram[n > 0], n[n > 0], 0, TOP), 0, below)
+
+
+def _answers(shared):
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, asked, tree = _subtree(batches)
+        gram, back = np.unique(asked, return_inverse=True)
+        log = np.concatenate([shared.value.log10(g, tree.chances(g)) for g in np.array_split(gram, len(gram) // _ASKED + 1)])[back]
+        for lo in range(0, len(asked), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 18)]) for x in (block, asked, log)], names=["block", "gram", "log"])
+
+    return answer
+
+
+def _score_texts(vocabulary, n: int, v: int, docs: int):
+    """Scores a block's texts from its answers; ``vocabulary`` (sorted word hashes, counts) may be None, which leaves the base columns out."""
     scale = math.log10(n + 0.5 * (v + 1))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = Scorer(Tree(shared.value))
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, counts = vocabulary.value if vocabulary is not None else (None, None)
-        for b in batches:
-            texts = [words(t) for t in b.column("text").to_pylist()]
-            for lo, hi in _chunks(texts):
-                part = texts[lo:hi]
-                found = run([b" ".join(w) + _END for w in part])
-                out = {c: b.column(c).slice(lo, hi - lo) for c in b.schema.names if c != "text"}
-                out |= {"n_tokens": pa.array([len(w) + 1 for w in part], pa.int64()), "score": pa.array(found, pa.float64())}
+        known, log = (answers.column(c).to_numpy() for c in ("gram", "log"))
+        order = np.argsort(known)
+        known, log = known[order], log[order]
+        out = []
+        for whole in rows.to_batches():
+            for b in _chunks(whole):
+                part = [words(t) for t in b.column("text").to_pylist()]
+                g, sizes = grams([b" ".join(w) + _END for w in part])
+                found = np.add.reduceat(log[np.searchsorted(known, g)], np.append(0, np.cumsum(sizes)[:-1]))
+                columns = {c: b.column(c) for c in ("doc_id", "held_out", "row")}
+                columns |= {"n_tokens": pa.array([len(w) + 1 for w in part], pa.int64()), "score": pa.array(found, pa.float64())}
                 if hashes is not None:
                     lens = np.array([len(w) + 1 for w in part])
                     h = np.fromiter((xxhash.xxh64_intdigest(w) for ws in part for w in ws), np.uint64).view(np.int64)
@@ -271,9 +301,10 @@ def _score_texts(shared, vocabulary, n: int, v: int, docs: int):
                     c = np.where(hashes[at] == h, counts[at], 0) if len(hashes) else np.zeros(len(h), np.int64)
                     c = np.insert(c, np.cumsum(lens - 1), docs)
                     starts = np.append(0, np.cumsum(lens)[:-1])
-                    out["n_known"] = pa.array(np.add.reduceat((c > 0).astype(np.int64), starts))
-                    out["base_score"] = pa.array(np.add.reduceat(np.log10(c + 0.5) - scale, starts))
-                yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
+                    columns["n_known"] = pa.array(np.add.reduceat((c > 0).astype(np.int64), starts))
+                    columns["base_score"] = pa.array(np.add.reduceat(np.log10(c + 0.5) - scale, starts))
+                out.append(pa.RecordBatch.from_arrays([*columns.values()], names=[*columns]))
+        return pa.Table.from_batches(out)
 
     return score
 
@@ -296,17 +327,22 @@ def scores(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     learning row every bit has probability 1/2 and every base probability is 1.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learn = narrow.where(~held_out(F.col("doc_id"), MODULUS)).select("text")
-    tally = materialize(learn.mapInArrow(_tally, "gram long, word binary, n long"), "ctw-tally")
-    levels = _levels(tally.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("n").alias("n")))
-    vocabulary = materialize(tally.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
-    trained = tally.where("gram IS NULL AND word IS NULL").agg(F.sum("n")).first()[0] or 0
-    drop_table(tally)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id"), MODULUS))
+    tally = materialize(narrow.mapInArrow(_tally, _TALLY), "ctw-tally")
+    of = lambda kind: tally.where(F.col("kind") == kind)
+    size = of(_GRAM).count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // _ASKED + 1)
+    suffix = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1))
+    asked = of(_GRAM).select("block", "gram", "n").repartition(parts, suffix)
+    shared = spark.sparkContext.broadcast(_top(asked))
+    answers = asked.mapInArrow(_answers(shared), "block long, gram long, log double").groupBy("block")
+    rows = of(_TEXT).select("block", "row", "doc_id", "held_out", "text")
+    vocabulary = materialize(of(_WORD).groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
+    trained = of(_DOCS).agg(F.sum("n")).first()[0] or 0
     distinct, total = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     n, v = total + trained, distinct + (trained > 0)
-    shared = spark.sparkContext.broadcast(levels)
-    last = (F.lit(n).cast("long").alias("train_tokens"), held_out(F.col("doc_id"), MODULUS).alias("held_out"))
+    trained_on = F.lit(n).cast("long").alias("train_tokens")
+    plain = "doc_id long, held_out boolean, row long, n_tokens long, score double"
     columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
     if distinct <= max_words:
@@ -314,11 +350,10 @@ def scores(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
         h, c = (table.column(x).to_numpy() for x in ("h", "c"))
         order = np.argsort(h)
         dictionary = spark.sparkContext.broadcast((h[order], c[order]))
-        done = narrow.mapInArrow(_score_texts(shared, dictionary, n, v, trained), "doc_id long, n_tokens long, score double, n_known long, base_score double")
-        return done.select("*", *last).select(*columns)
+        done = rows.groupBy("block").cogroup(answers).applyInArrow(_score_texts(dictionary, n, v, trained), f"{plain}, n_known long, base_score double")
+        return done.select("*", trained_on).select(*columns)
 
-    rows = materialize(narrow.withColumn("row", F.monotonically_increasing_id()), "ctw-docs")
-    done = rows.mapInArrow(_score_texts(shared, None, n, v, trained), "doc_id long, row long, n_tokens long, score double")
+    done = rows.groupBy("block").cogroup(answers).applyInArrow(_score_texts(None, n, v, trained), plain)
     asked = rows.select("row", "text").mapInArrow(_words_of, "row long, word binary, times long").join(vocabulary, "word", "left")
     share = lambda c: F.log10(c + 0.5) - F.log10(F.lit(n + 0.5 * (v + 1)))
     c = F.coalesce("c", F.lit(0))
@@ -326,7 +361,7 @@ def scores(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     joined = done.join(sums, "row", "left")
     known = F.coalesce("known", F.lit(0)) + (1 if trained else 0)
     base = F.coalesce("base", F.lit(0.0)) + share(F.lit(trained))
-    return joined.select("*", known.cast("long").alias("n_known"), base.alias("base_score"), *last).select(*columns)
+    return joined.select("*", known.cast("long").alias("n_known"), base.alias("base_score"), trained_on).select(*columns)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -243,6 +243,27 @@ def test_ctw_is_a_probability():
             assert abs((10 ** tree.log10(np.array([prefix << 8 | b for b in range(256)]))).sum() - 1) < 1e-6
 
 
+def test_ctw_keeps_every_sequence(spark):
+    import numpy as np
+
+    random.seed(8)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, " ".join("".join(random.choices(letters, k=random.randint(3, 12))) for _ in range(1000))) for i in range(100)]
+    rows += [(200 + i, rows[i][1][: 40 * i]) for i in range(20)]
+    clean = lambda t: b" ".join(ctw.words(t)) + b"\n"
+    learning = [clean(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    gram, n = np.unique(ctw.grams(learning)[0], return_counts=True)
+    assert len(gram) > 500_000  # nearly all seen once
+    levels = []
+    for d in range(ctw.DEPTH + 1):
+        short, back = np.unique(gram & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        levels.append((short, np.bincount(back, n).astype(np.int64)))
+    whole = ctw.Tree(levels)
+    got = {r.doc_id: r.score for r in ctw.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert math.isclose(got[i], whole.log10(ctw.grams([clean(t)])[0]).sum(), rel_tol=1e-6), i
+
+
 def test_ctw_odd_rows(docs, no_docs):
     got = ctw.scores(docs).collect()
     assert len(got) == 10 and {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}
