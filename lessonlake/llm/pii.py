@@ -9,14 +9,15 @@ known. What is known in the end is marked wherever a pattern's context or the in
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm._shared import materialize
+from lessonlake.llm._shared import drop_table, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of the bootstrap, the share of known instances a pattern needs, and how many of them.
-ROUNDS = 3
+#: The share of known instances a pattern needs, and how many of them.
 CONFIDENCE = 0.6
 SUPPORT = 3
 
@@ -114,15 +115,17 @@ def _contexts(text: Column, spot: Column) -> Column:
     return F.array_compact(F.array(before, around))
 
 
-def bootstrap(spots: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def bootstrap(spots: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """(value, k) of the instances that the patterns discover, from one row per (value, k, p): k is null for candidates.
 
+    Rounds go on until one adds no known instance.
     All rounds work on distinct (pattern, instance) edges; every count is pre-aggregated before its
     shuffle, so that neither a common pattern nor a common instance is gathered in one task.
     """
     edges = materialize(spots.groupBy("p", "value").agg(F.max("k").alias("k")), "pii-edges")
     known = edges.where(F.col("k").isNotNull()).groupBy("value").agg(F.max("k").alias("known"))
-    for _ in range(rounds):
+    written = None
+    for turn in count(1):
         told = edges.join(known, "value", "left")
         by_kind = told.groupBy("p", "known").agg(F.count(F.lit(1)).alias("n"))
         best = F.max(F.when(F.col("known").isNotNull(), F.struct("n", -F.col("known"))))
@@ -131,7 +134,12 @@ def bootstrap(spots: DataFrame, rounds: int = ROUNDS, confidence: float = CONFID
         good = good.select("p", (F.col("hits") / F.col("all")).alias("share"), (-F.col("best")["col2"]).alias("found"))
         news = told.where(F.col("known").isNull()).join(good, "p").groupBy("value").agg(F.max(F.struct("share", -F.col("found"))).alias("b"))
         news = news.select("value", (-F.col("b")["col2"]).cast("int").alias("known"))
-        known = materialize(known.unionByName(news), "pii-known")
+        grown = materialize(known.withColumn("turn", F.lit(0)).unionByName(news.withColumn("turn", F.lit(turn))), "pii-known")
+        if written is not None:
+            drop_table(written)
+        known, written = grown.drop("turn"), grown
+        if grown.where(F.col("turn") == turn).isEmpty():
+            break
     seeds = edges.where(F.col("k").isNotNull()).select("value").distinct()
     return known.join(seeds, "value", "left_anti").select("value", F.col("known").alias("k"))
 

@@ -319,6 +319,14 @@ def test_pii_base_and_discovery(spark):
     assert {clean[2000 + i] for i in range(8)} == {"Bitte meine Kennung: [EMAIL] ende."}
 
 
+def test_pii_discovery_follows_long_chains(spark):
+    seeds, steps = [f"seed{i}" for i in range(5)], 7
+    found = lambda i: [f"v{i}-{j}" for j in range(3)] if i else seeds[2:]
+    rows = [(v, 0 if v in seeds else None, f"p{i}") for i in range(steps) for v in (*seeds[:2], *found(i), *found(i + 1))]
+    got = pii.bootstrap(spark.createDataFrame(rows, "value string, k int, p string")).collect()
+    assert {(r.value, r.k) for r in got} == {(v, 0) for i in range(steps) for v in found(i + 1)}
+
+
 def test_pii_odd_rows(docs, no_docs):
     assert pii.span_digests(docs).count() == 10 and pii.span_digests(no_docs).count() == 0
     clean = pii.redact(docs)
