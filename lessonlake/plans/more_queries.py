@@ -53,7 +53,7 @@ register("a11_fold_reports", a11_fold_reports)
 def r10_tuning_log(spark, sf_dir):
     """One record for each candidate that was evaluated, with whether the gate let it through."""
     m = view(spark, sf_dir, "memories")
-    prompts = view(spark, sf_dir, "prompts").where("session % 5 = 0").select(F.concat_ws(":", F.col("session").cast("string"), F.col("seq").cast("string")).alias("query_id"), "query")
+    prompts = view(spark, sf_dir, "prompts").select(F.concat_ws(":", F.col("session").cast("string"), F.col("seq").cast("string")).alias("query_id"), "query")
     found = R.search(prompts, m, R.build(m), limit=10)
     return found.select("query_id", "rank", "id", "score", "overlap", (F.col("overlap") >= 0.3).alias("passed"))
 

@@ -189,7 +189,7 @@ SELECT query_id, rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 10
 
 def t10_relevance_gate(spark, sf_dir):
     memories = _memories(spark, sf_dir)
-    prompts = view(spark, sf_dir, "prompts").where("session % 5 = 0").select(F.concat_ws(":", F.col("session").cast("string"), F.col("seq").cast("string")).alias("query_id"), "query")
+    prompts = view(spark, sf_dir, "prompts").select(F.concat_ws(":", F.col("session").cast("string"), F.col("seq").cast("string")).alias("query_id"), "query")
     found = R.search(prompts, memories, R.build(memories), limit=10)
     return found.where("overlap >= 0.3").select("query_id", "rank", "id", "overlap")
 

@@ -37,7 +37,7 @@ def r8_injected_once(spark, sf_dir):
     from lessonlake.operators import retrieval as R
 
     m = view(spark, sf_dir, "memories")
-    prompts = view(spark, sf_dir, "prompts").where("session % 5 = 0")
+    prompts = view(spark, sf_dir, "prompts")
     keyed = prompts.select(F.concat_ws(":", F.col("session").cast("string"), F.col("seq").cast("string")).alias("query_id"), "query")
     found = R.search(keyed, m, R.build(m), limit=10).where("overlap >= 0.1")
     split = F.split("query_id", ":")
