@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lessonlake.sources.shared import drop_table, materialize, shared_dir, shared_path
 
-__all__ = ["LOWER", "WORD", "drop_table", "held_out", "materialize", "read_table", "shared_dir", "shared_path", "texts", "word_count"]
+__all__ = ["LOWER", "WORD", "drop_table", "held_out", "materialize", "packed", "read_table", "shared_dir", "shared_path", "texts", "word_count"]
 
 #: A word in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, name: str = "packed") -> Column:
+    """All columns of ``docs`` as one struct, so that no name can clash with a helper's; names may hold dots and backticks."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias(name)
+
+
 def texts(batch: pa.RecordBatch) -> Iterator[str | None]:
     """The texts of a batch one after another, so that a batch is never held twice."""
     for t in batch.column("text"):
