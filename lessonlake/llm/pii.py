@@ -178,7 +178,11 @@ def _pieces(texts: DataFrame) -> DataFrame:
         places = F.arrays_zip(ps.alias("piece"), starts.alias("at"))
         return F.transform(places, lambda x, i: F.struct(x["at"].alias("at"), x["piece"].alias("piece"), F.concat(near(i - 2), near(i - 1)).alias("before"), near(i + 1).alias("after")))
 
-    cut = F.concat(*[F.transform(_let(F.regexp_extract_all("text", F.lit(p), F.lit(0)), around), lambda x, i=i: F.struct(F.lit(i == 0).alias("inside"), x.alias("p"))) for i, p in enumerate(_PIECES)])
+    def kind(pattern: str, inside: bool) -> Column:
+        pieces = _let(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), around)
+        return F.transform(pieces, lambda p: F.struct(F.lit(inside).alias("inside"), p.alias("p")))
+
+    cut = F.concat(*[kind(p, inside) for p, inside in zip(_PIECES, (True, False), strict=True)])
     # an outer explode, as a plain one would be filtered by its own array, computed once more
     rows = texts.where(F.col("text").rlike("[0-9@]")).select("h1", "h2", F.explode_outer(cut).alias("x"))
     return rows.select("h1", "h2", "x.inside", "x.p.*").where(F.col("piece").rlike(r"[0-9@]"))
