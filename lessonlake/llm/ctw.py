@@ -8,16 +8,19 @@ its children's mixture, with weights that follow from the block probabilities of
 
 Training text is what the learning documents hold: lower-cased words joined by one space, then an
 end byte. All of its (DEPTH+1)-byte sequences make the tree, however many there are, so the tree is
-held nowhere whole. Contexts longer than ``TOP`` bytes are dealt out by their last ``TOP`` + 1 bytes,
-which keeps every such node with all its children in one task; what these subtrees add up to makes the
-top, whose size has a bound that no input moves. The tasks that hold the subtrees score the sequences
-that blocks of texts ask for, and the answers go back to the blocks.
+held nowhere whole. Contexts longer than ``TOP`` bytes are dealt to slots by their last ``TOP`` + 1
+bytes, which keeps every such node with all its children in one slot; what these subtrees add up to
+makes the top, whose size has a bound that no input moves.
+
+Texts are read in blocks. A block asks each slot once for the sequences and words it has, as sorted
+differences in compressed bytes, and brings its own counts along; the slot adds the counts up, scores
+what is asked, and answers in the same order. Words are counted in the same slots.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +36,10 @@ MODULUS = 5
 DEPTH = 5
 #: Contexts up to this length are one small tree (256**3 contexts and bytes at most); longer ones are dealt out.
 TOP = 2
-#: Vocabularies up to this many words go to the executors whole (16 bytes a word); larger ones are joined.
-MAX_WORDS = 6_000_000
-_CHUNK = 4 << 20
-#: Bytes of text that ask for their sequences together, and sequences asked for in a task that scores them.
-_BLOCK = 24 << 20
-_ASKED = 1 << 19
-_WORDS_HELD = 200_000
+#: Bytes of text that ask together, that are looked at together, and that there is a slot for.
+_BLOCK, _CHUNK, _SLOT = 32 << 20, 4 << 20, 16 << 20
 _END = b"\n"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SMALL = np.array([math.lgamma(k + 0.5) for k in range(256)])
 
 
@@ -49,15 +48,26 @@ def words(text: str | bytes | None) -> list[bytes]:
     return raw.translate(LOWER).split()
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The (DEPTH+1)-byte sequence that ends at each byte of each text (one long each), and every text's number of bytes."""
-    pad = _END * DEPTH
-    flat = np.frombuffer(b"".join([pad + t for t in texts]), np.uint8)
+def _word_runs(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in runs of about _CHUNK bytes, so that those of a long text are never all held."""
+    raw, at = (text or "").encode("utf-8", "surrogatepass"), 0
+    while len(raw) - at > _CHUNK and (cut := _SPACE.search(raw, at + _CHUNK)):
+        yield words(raw[at : cut.start()])
+        at = cut.end()
+    yield words(raw[at:] if at else raw)
+
+
+def grams(texts: list[bytes], contexts: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The (DEPTH+1)-byte sequence that ends at each byte of each text (one long each), and every text's number of bytes.
+
+    ``contexts`` are the DEPTH bytes before each text; a text that begins has end bytes before it.
+    """
+    flat = np.frombuffer(b"".join([c + t for c, t in zip(contexts or [_END * DEPTH] * len(texts), texts, strict=True)]), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     g = np.zeros(len(flat) - DEPTH if len(flat) else 0, np.int64)
     for j in range(DEPTH + 1):
         g = g << 8 | flat[j : len(flat) - DEPTH + j]
-    if len(texts) > 1:  # leave out what ends inside the padding of the next text
+    if len(texts) > 1:  # leave out what ends inside the context of the next text
         starts = np.cumsum(sizes + DEPTH)[:-1]
         keep = np.ones(len(g), bool)
         keep[(starts[:, None] - DEPTH + np.arange(DEPTH)[None, :]).ravel()] = False
@@ -65,6 +75,23 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g, sizes
 
 
+def _gram_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences, sizes and positions of texts in runs of about _CHUNK bytes; a longer text comes in parts."""
+    parts, contexts, owners, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, len(t), _CHUNK):
+            part = t[at : at + _CHUNK]
+            if size + len(part) > _CHUNK and parts:
+                yield *grams(parts, contexts), np.array(owners)
+                parts, contexts, owners, size = [], [], [], 0
+            parts.append(part)
+            contexts.append((_END * DEPTH + t[max(0, at - DEPTH) : at])[-DEPTH:])
+            owners.append(i)
+            size += len(part)
+    if parts:
+        yield *grams(parts, contexts), np.array(owners)
+
+
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about _CHUNK bytes of text, so that its words are never all held at once."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
@@ -74,61 +101,105 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, hi - lo)
 
 
-def _merge(kept: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    g, back = np.unique(np.concatenate((kept[0], new[0])), return_inverse=True)
-    return g, np.bincount(back, np.concatenate((kept[1], new[1])), len(g)).astype(np.int64)
+def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their counts added up."""
+    g, back = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_inverse=True)
+    return g, np.bincount(back, np.concatenate([np.empty(0, np.int64), *counts]), len(g)).astype(np.int64)
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, first bytes first: small ones take little."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _spread(data: bytes, kind: type) -> np.ndarray:
+    planes = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _squeeze_bytes(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-_TALLY = "kind int, block long, row long, doc_id long, held_out boolean, text binary, gram long, word binary, n long"
-_TEXT, _GRAM, _WORD, _DOCS = range(4)
+def _spread_bytes(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cleaned texts in blocks; each block's sequences with their counts in learning texts; learning words and documents."""
-    from pyspark import TaskContext
+def _gram_slots(gram: np.ndarray, slots: int) -> np.ndarray:
+    suffix = (gram >> 8 & (1 << 8 * (TOP + 1)) - 1).astype(np.uint64)
+    return (suffix * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % slots
 
-    fields = {"kind": pa.int32(), "block": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.binary(), "gram": pa.int64(), "word": pa.binary(), "n": pa.int64()}
 
-    def rows(kind: int, size: int, **columns) -> pa.RecordBatch:
-        columns["kind"] = np.full(size, kind)
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in fields.items()], names=[*fields])
+_TALLY = "slot int, block long, doc_ids array<long>, held array<boolean>, learning long, text binary, grams binary, gram_n binary, words binary, word_n binary"
+_FIELDS = {"slot": pa.int32(), "block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "learning": pa.int64(), "text": pa.binary(), "grams": pa.binary(), "gram_n": pa.binary(), "words": pa.binary(), "word_n": pa.binary()}
 
-    at = TaskContext.get().partitionId() << 33
-    block, row, docs, size, vocabulary, waiting = at, at, 0, 0, Counter(), []
 
-    def asked() -> Iterator[pa.RecordBatch]:
-        if not waiting:
-            return
-        gram, count = _merge(*(tuple(map(np.concatenate, zip(*half, strict=True))) for half in (waiting[::2], waiting[1::2])))
-        for lo in range(0, len(gram), 1 << 18):
-            g, n = gram[lo : lo + (1 << 18)], count[lo : lo + (1 << 18)]
-            yield rows(_GRAM, len(g), block=np.full(len(g), block), gram=g, n=n)
+def _rows(**columns) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in _FIELDS.items()], names=[*_FIELDS])
 
-    for b in (c for batch in batches for c in _chunks(batch)):
-        out = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        part = []
-        for text, held in zip(texts(b), out, strict=True):
-            w = words(text)
-            part.append(b" ".join(w))
-            if not held:
-                vocabulary.update(w)
-        yield rows(_TEXT, len(part), block=np.full(len(part), block), row=np.arange(row, row + len(part)), doc_id=b.column("doc_id"), held_out=out, text=part)
-        row += len(part)
-        docs += int((~out).sum())
+
+class _Block:
+    """What a block of texts asks for: its sequences and words with their counts in learning texts."""
+
+    def __init__(self) -> None:
+        self.size, self.grams, self.gram_n, self.words, self.word_n = 0, [], [], [], []
+
+    def add(self, clean: list[bytes], held: list[bool]) -> None:
         for kind in (False, True):  # held-out texts ask, but do not count
-            g, n = np.unique(grams([t + _END for t, held in zip(part, out, strict=True) if held == kind])[0], return_counts=True)
-            waiting.append((g, np.zeros(len(g), np.int64) if kind else n))
-        size += sum(map(len, part)) + len(part)
-        if size >= _BLOCK:
-            yield from asked()
-            block, size, waiting = block + 1, 0, []
-        if len(vocabulary) > _WORDS_HELD:
-            yield rows(_WORD, len(vocabulary), word=[*vocabulary], n=[*vocabulary.values()])
-            vocabulary = Counter()
-    yield from asked()
-    if vocabulary:
-        yield rows(_WORD, len(vocabulary), word=[*vocabulary], n=[*vocabulary.values()])
-    yield rows(_DOCS, 1, n=[docs])
+            mine = [t + _END for t, h in zip(clean, held, strict=True) if h == kind]
+            for g, _, _ in _gram_runs(mine):
+                seen, n = np.unique(g, return_counts=True)
+                self.grams.append(seen)
+                self.gram_n.append(np.zeros(len(n), np.int64) if kind else n)
+            for t in mine:
+                self.size += len(t)
+            found = pc.value_counts(pa.array([w for t in mine for w in t.split()], pa.binary()))
+            self.words.append(found.field("values"))
+            self.word_n.append(np.zeros(len(found), np.int64) if kind else found.field("counts").to_numpy())
+        if len(self.grams) > 16:
+            self.grams, self.gram_n = ([x] for x in _merge(self.grams, self.gram_n))
+
+    def asked(self, block: int, slots: int) -> Iterator[pa.RecordBatch]:
+        gram, n = _merge(self.grams, self.gram_n)
+        order = np.argsort(of := _gram_slots(gram, slots), kind="stable")
+        gram, n, gram_cuts = gram[order], n[order], np.searchsorted(of[order], np.arange(slots + 1))
+        every = pa.concat_arrays(self.words) if self.words else pa.array([], pa.binary())
+        found = pc.dictionary_encode(every)
+        word = found.dictionary.to_pylist()
+        word_n = np.bincount(found.indices.to_numpy(), np.concatenate(self.word_n), len(word)).astype(np.int64) if word else np.empty(0, np.int64)
+        of = np.fromiter(map(xxhash.xxh64_intdigest, word), np.uint64, len(word)) % np.uint64(slots)
+        order = np.argsort(of, kind="stable")
+        word, word_n, word_cuts = [word[i] for i in order.tolist()], word_n[order], np.searchsorted(of[order], np.arange(slots + 1, dtype=np.uint64))
+        for slot in range(slots):
+            (a, b), (c, d) = gram_cuts[slot : slot + 2], word_cuts[slot : slot + 2]
+            if a < b or c < d:
+                yield _rows(
+                    slot=[slot], block=[block], grams=[_squeeze(np.diff(gram[a:b], prepend=0))], gram_n=[_squeeze(n[a:b])],
+                    words=[_squeeze_bytes(b"".join(w + _END for w in word[c:d]))], word_n=[_squeeze(word_n[c:d])],
+                )
+
+
+def _tally(slots: int, most: int):
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cleaned texts, and what each block of them asks of each slot."""
+        from pyspark import TaskContext
+
+        block, asks = TaskContext.get().partitionId() << 32, _Block()
+        for b in (c for batch in batches for c in _chunks(batch)):
+            held = b.column("held_out").to_pylist()
+            clean = [b" ".join(filter(None, (b" ".join(run) for run in _word_runs(t)))) for t in texts(b)]
+            packed = _squeeze_bytes(b"".join(t + _END for t in clean))
+            yield _rows(block=[block], doc_ids=[b.column("doc_id").to_pylist()], held=[held], learning=[held.count(False)], text=[packed])
+            asks.add(clean, held)
+            if asks.size >= most:
+                yield from asks.asked(block, slots)
+                block, asks = block + 1, _Block()
+        yield from asks.asked(block, slots)
+
+    return tally
 
 
 def _lgamma_half(k: np.ndarray) -> np.ndarray:
@@ -237,22 +308,38 @@ def _levels(gram: np.ndarray, n: np.ndarray, low: int, high: int) -> list[tuple[
     return out
 
 
-def _subtree(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, Tree]:
-    """What the blocks ask of a task, as it came (block, sequence), and the tree of the depths after TOP."""
-    table = pa.Table.from_batches(list(batches), pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())]))
-    block, asked, n = (table.column(c).to_numpy() for c in ("block", "gram", "n"))
-    gram, count = _merge((asked[n > 0], n[n > 0]), (np.empty(0, np.int64), np.empty(0, np.int64)))
-    return block, asked, Tree(_levels(gram, count, TOP + 1, DEPTH), TOP + 1)
+def _counted(asked: pa.Table) -> tuple[Tree, dict[bytes, int]]:
+    """The tree of the depths after TOP of a slot, and the counts of its words."""
+    grams, counts, vocabulary = [], [], {}
+    for part in asked.to_batches():
+        for g, n, w, c in zip(*(part.column(x).to_pylist() for x in ("grams", "gram_n", "words", "word_n")), strict=True):
+            gram, number = np.cumsum(_spread(g, np.int64)), _spread(n, np.int64)
+            grams.append(gram[number > 0])
+            counts.append(number[number > 0])
+            if len(grams) > 64:
+                grams, counts = ([x] for x in _merge(grams, counts))
+            for word, times in zip(_spread_bytes(w).split(), _spread(c, np.int64).tolist(), strict=True):
+                if times:
+                    vocabulary[word] = vocabulary.get(word, 0) + times
+    return Tree(_levels(*_merge(grams, counts), TOP + 1, DEPTH), TOP + 1), vocabulary
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for j, columns in enumerate(_subtree(batches)[2].sums):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), j, np.int32)), *map(pa.array, columns)], names=["j", "key", "n0", "n1", "weighted"])
+_WORDS = -1
+_SUMS = "j int, key long, n0 long, n1 long, weighted double"
 
 
-def _top(asked: DataFrame) -> Tree:
-    """The tree of contexts of up to TOP bytes; its size depends on the number of different bytes alone."""
-    sums = asked.mapInArrow(_sums, "j int, key long, n0 long, n1 long, weighted double")
+def _sums(asked: pa.Table) -> pa.Table:
+    """What a slot's subtrees add up to, and its number of words and different words."""
+    tree, vocabulary = _counted(asked)
+    rows = [[np.full(len(columns[0]), j, np.int32), *columns] for j, columns in enumerate(tree.sums)]
+    rows.append([np.array([_WORDS], np.int32), np.zeros(1, np.int64), np.array([sum(vocabulary.values())]), np.array([len(vocabulary)]), np.zeros(1)])
+    kinds = (np.int32, np.int64, np.int64, np.int64, np.float64)
+    return pa.table({c: np.concatenate(x).astype(k) for c, x, k in zip(("j", "key", "n0", "n1", "weighted"), zip(*rows, strict=True), kinds, strict=True)})
+
+
+def _top(asked: DataFrame) -> tuple[Tree, int, int]:
+    """The tree of contexts of up to TOP bytes, whose size depends on the number of different bytes alone; all words and different words."""
+    sums = asked.groupBy("slot").applyInArrow(_sums, _SUMS)
     # decimals, so that the sum does not depend on the order of the tasks
     table = sums.groupBy("j", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(F.col("weighted").cast("decimal(28,9)")).cast("double").alias("weighted")).toArrow()
     j, key, n0, n1, weighted = (table.column(c).to_numpy() for c in ("j", "key", "n0", "n1", "weighted"))
@@ -261,110 +348,89 @@ def _top(asked: DataFrame) -> Tree:
         at = np.flatnonzero(j == k)
         at = at[np.argsort(key[at])]
         below.append((key[at], n0[at], n1[at], weighted[at]))
+    total, distinct = int(n0[j == _WORDS].sum()), int(n1[j == _WORDS].sum())
     key, n0, n1, _ = below[7]
     gram, n = np.concatenate((key << 1, key << 1 | 1)), np.concatenate((n0, n1))
-    return Tree(_levels(gram[n > 0], n[n > 0], 0, TOP), 0, below)
+    return Tree(_levels(gram[n > 0], n[n > 0], 0, TOP), 0, below), total, distinct
+
+
+_ANSWER = "block long, grams binary, log binary, words binary, word_c binary"
 
 
 def _answers(shared):
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, asked, tree = _subtree(batches)
-        gram, back = np.unique(asked, return_inverse=True)
-        log = np.concatenate([shared.value.log10(g, tree.chances(g)) for g in np.array_split(gram, len(gram) // _ASKED + 1)])[back]
-        for lo in range(0, len(asked), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 18)]) for x in (block, asked, log)], names=["block", "gram", "log"])
+    def answer(asked: pa.Table) -> pa.Table:
+        """What a slot tells each block: log10 probabilities (rounded to 4 bytes) and counts, in the order asked."""
+        tree, vocabulary = _counted(asked)
+        out = []
+        for part in asked.to_batches():
+            for block, g, w in zip(*(part.column(x).to_pylist() for x in ("block", "grams", "words")), strict=True):
+                gram = np.cumsum(_spread(g, np.int64))
+                log = shared.value.log10(gram, tree.chances(gram)).astype(np.float32)
+                count = np.array([vocabulary.get(x, 0) for x in _spread_bytes(w).split()], np.int64)
+                out.append((block, g, _squeeze(log), w, _squeeze(count)))
+        columns = zip(*out, strict=True)
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("block", "grams", "log", "words", "word_c"), columns, (pa.int64(), *[pa.binary()] * 4), strict=True)})
 
     return answer
 
 
-def _score_texts(vocabulary, n: int, v: int, docs: int):
-    """Scores a block's texts from its answers; ``vocabulary`` (sorted word hashes, counts) may be None, which leaves the base columns out."""
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
+
+
+def _score_texts(n: int, v: int, docs: int):
+    """Scores a block's texts from its answers."""
     scale = math.log10(n + 0.5 * (v + 1))
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        hashes, counts = vocabulary.value if vocabulary is not None else (None, None)
-        known, log = (answers.column(c).to_numpy() for c in ("gram", "log"))
-        order = np.argsort(known)
-        known, log = known[order], log[order]
+        told = {c: [x for x in answers.column(c).to_pylist()] for c in ("grams", "log", "words", "word_c")}
+        gram = np.concatenate([np.empty(0, np.int64), *(np.cumsum(_spread(x, np.int64)) for x in told["grams"])])
+        log = np.concatenate([np.empty(0, np.float32), *(_spread(x, np.float32) for x in told["log"])]).astype(float)
+        known, word = pa.array(gram), pa.array([w for x in told["words"] for w in _spread_bytes(x).split()], pa.binary())
+        count = np.concatenate([np.empty(0, np.int64), *(_spread(x, np.int64) for x in told["word_c"])])
         out = []
-        for whole in rows.to_batches():
-            for b in _chunks(whole):
-                part = [words(t) for t in b.column("text").to_pylist()]
-                g, sizes = grams([b" ".join(w) + _END for w in part])
-                found = np.add.reduceat(log[np.searchsorted(known, g)], np.append(0, np.cumsum(sizes)[:-1]))
-                columns = {c: b.column(c) for c in ("doc_id", "held_out", "row")}
-                columns |= {"n_tokens": pa.array([len(w) + 1 for w in part], pa.int64()), "score": pa.array(found, pa.float64())}
-                if hashes is not None:
-                    lens = np.array([len(w) + 1 for w in part])
-                    h = np.fromiter((xxhash.xxh64_intdigest(w) for ws in part for w in ws), np.uint64).view(np.int64)
-                    at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-                    c = np.where(hashes[at] == h, counts[at], 0) if len(hashes) else np.zeros(len(h), np.int64)
-                    c = np.insert(c, np.cumsum(lens - 1), docs)
-                    starts = np.append(0, np.cumsum(lens)[:-1])
-                    columns["n_known"] = pa.array(np.add.reduceat((c > 0).astype(np.int64), starts))
-                    columns["base_score"] = pa.array(np.add.reduceat(np.log10(c + 0.5) - scale, starts))
-                out.append(pa.RecordBatch.from_arrays([*columns.values()], names=[*columns]))
-        return pa.Table.from_batches(out)
+        for ids, held, packed in zip(*(rows.column(c).to_pylist() for c in ("doc_ids", "held", "text")), strict=True):
+            clean = _spread_bytes(packed).split(_END)[:-1]
+            found = np.zeros(len(clean))
+            for g, sizes, owner in _gram_runs([t + _END for t in clean]):
+                at = pc.index_in(pa.array(g), value_set=known).to_numpy()
+                starts = np.append(0, np.cumsum(sizes)[:-1])
+                found += np.bincount(owner, np.add.reduceat(log[at], starts), len(clean))
+            split = [t.split() for t in clean]
+            lens = np.array([len(w) + 1 for w in split])
+            c = count[pc.index_in(pa.array([w for ws in split for w in ws], pa.binary()), value_set=word).to_numpy()] if len(word) else np.empty(0, np.int64)
+            c = np.insert(c, np.cumsum(lens - 1), docs)
+            starts = np.append(0, np.cumsum(lens)[:-1])
+            columns = {"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(lens.astype(np.int64))}
+            columns |= {"n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), "base_score": pa.array(np.add.reduceat(np.log10(c + 0.5) - scale, starts))}
+            columns |= {"score": pa.array(found), "bits_per_byte": pa.array(-found * math.log2(10) / np.array([len(t) + 1 for t in clean]))}
+            out.append(pa.table(columns))
+        return pa.concat_tables(out)
 
     return score
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row, text in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-            found = Counter(words(text))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())], names=["row", "word", "times"])
-
-
-def scores(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
+def scores(docs: DataFrame, block_bytes: int = _BLOCK, slot_bytes: int = _SLOT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of ``docs``.
 
     Learns from rows whose crc32(doc_id) mod 5 is not 1 (rows without an id among them). ``score`` is
-    log10 of the model's probability of the lower-cased words, joined by one space, and the end.
-    Null, empty and blank texts are the end alone; texts are scored whole; repeated rows each count in
-    training and each get a row; other columns are ignored; an empty table gives no rows; without any
-    learning row every bit has probability 1/2 and every base probability is 1.
+    log10 of the model's probability of the lower-cased words, joined by one space, and the end;
+    ``bits_per_byte`` is the same as a code length for each of these bytes. Null, empty and blank texts
+    are the end alone; texts are scored whole; repeated rows each count in training and each get a row;
+    other columns are ignored; an empty table gives no rows; without any learning row every bit has
+    probability 1/2 and every base probability is 1. ``block_bytes`` and ``slot_bytes`` size the work of
+    a task and change no result.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id"), MODULUS))
-    tally = materialize(narrow.mapInArrow(_tally, _TALLY), "ctw-tally")
-    of = lambda kind: tally.where(F.col("kind") == kind)
-    size = of(_GRAM).count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // _ASKED + 1)
-    suffix = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1))
-    asked = of(_GRAM).select("block", "gram", "n").repartition(parts, suffix)
-    shared = spark.sparkContext.broadcast(_top(asked))
-    answers = asked.mapInArrow(_answers(shared), "block long, gram long, log double").groupBy("block")
-    rows = of(_TEXT).select("block", "row", "doc_id", "held_out", "text")
-    vocabulary = materialize(of(_WORD).groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
-    trained = of(_DOCS).agg(F.sum("n")).first()[0] or 0
-    distinct, total = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // slot_bytes + 1)
+    tally = materialize(narrow.mapInArrow(_tally(slots, block_bytes), _TALLY), "ctw-tally")
+    asked = tally.where(F.col("slot").isNotNull()).select("slot", "block", "grams", "gram_n", "words", "word_n")
+    rows = tally.where(F.col("slot").isNull()).select("block", "doc_ids", "held", "text")
+    trained = tally.agg(F.sum("learning")).first()[0] or 0
+    top, total, distinct = _top(asked)
     n, v = total + trained, distinct + (trained > 0)
-    trained_on = F.lit(n).cast("long").alias("train_tokens")
-    plain = "doc_id long, held_out boolean, row long, n_tokens long, score double"
-    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-    if distinct <= max_words:
-        table = vocabulary.mapInArrow(_hashed, "h long, c long").toArrow()
-        h, c = (table.column(x).to_numpy() for x in ("h", "c"))
-        order = np.argsort(h)
-        dictionary = spark.sparkContext.broadcast((h[order], c[order]))
-        done = rows.groupBy("block").cogroup(answers).applyInArrow(_score_texts(dictionary, n, v, trained), f"{plain}, n_known long, base_score double")
-        return done.select("*", trained_on).select(*columns)
-
-    done = rows.groupBy("block").cogroup(answers).applyInArrow(_score_texts(None, n, v, trained), plain)
-    asked = rows.select("row", "text").mapInArrow(_words_of, "row long, word binary, times long").join(vocabulary, "word", "left")
-    share = lambda c: F.log10(c + 0.5) - F.log10(F.lit(n + 0.5 * (v + 1)))
-    c = F.coalesce("c", F.lit(0))
-    sums = asked.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * share(c)).alias("base"))
-    joined = done.join(sums, "row", "left")
-    known = F.coalesce("known", F.lit(0)) + (1 if trained else 0)
-    base = F.coalesce("base", F.lit(0.0)) + share(F.lit(trained))
-    return joined.select("*", known.cast("long").alias("n_known"), base.alias("base_score"), trained_on).select(*columns)
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        h = np.fromiter(map(xxhash.xxh64_intdigest, b.column("word").to_pylist()), np.uint64, b.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), b.column("c")], names=["h", "c"])
+    answers = asked.groupBy("slot").applyInArrow(_answers(spark.sparkContext.broadcast(top)), _ANSWER)
+    done = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_texts(n, v, trained), _SCORED)
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    return done.withColumn("train_tokens", F.lit(n).cast("long")).select(*columns)

@@ -210,24 +210,97 @@ def test_toxicity_odd_rows(spark, docs, no_docs):
 
 
 # ---- context-tree weighting ---------------------------------------------------------------------
-def test_ctw_base_and_paths(spark):
+def slow_ctw(learning, asked, depth):
+    """log10 probability of the last byte of each asked sequence, by the recursion of the definition on plain counts."""
+    count = Counter()
+    for g in learning:  # bytes: context and symbol
+        for d in range(depth + 1):
+            for j in range(8):
+                count[g[depth - d : depth], g[-1] >> (8 - j), j, g[-1] >> (7 - j) & 1] += 1
+    seen = {}
+    for c, prefix, j, _ in count:
+        seen.setdefault((c[1:], prefix, j), set()).add(c) if c else None
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def tally(c, prefix, j):
+        return count[c, prefix, j, 0], count[c, prefix, j, 1]
+
+    def weighted(c, prefix, j):
+        a, b = tally(c, prefix, j)
+        if len(c) == depth:
+            return kt(a, b)
+        below = sum(weighted(x, prefix, j) for x in seen.get((c, prefix, j), ()))
+        return math.log(0.5) + math.log(math.exp(kt(a, b)) + math.exp(below))
+
+    out = []
+    for g in asked:
+        total = 0.0
+        for j in range(8):
+            prefix, bit, p = g[-1] >> (8 - j), g[-1] >> (7 - j) & 1, None
+            for d in range(depth, -1, -1):
+                c = g[depth - d : depth]
+                a, b = tally(c, prefix, j)
+                if a + b == 0:
+                    p = None
+                    continue
+                own = (b + 0.5 if bit else a + 0.5) / (a + b + 1)
+                if d == depth:
+                    p = own
+                    continue
+                share = math.exp(kt(a, b) + math.log(0.5) - weighted(c, prefix, j))
+                # a context without a node: its estimate before any symbol
+                p = share * own + (1 - share) * (0.5 if p is None else p)
+            total += math.log10(0.5 if p is None else p)
+        out.append(total)
+    return out
+
+
+def test_ctw_mixture_matches_the_definition(spark):
+    texts = ["abracadabra", "a cat a cat", "abba", "the cat", "", "zoo"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.score for r in ctw.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cut = lambda t: [(b"\n" * 5 + t.encode() + b"\n")[i : i + 6] for i in range(len(t) + 1)]
+    learning = [g for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for g in cut(t)]
+    for i, t in rows:
+        assert math.isclose(got[i], sum(slow_ctw(learning, cut(t), ctw.DEPTH)), rel_tol=1e-6), t
+
+
+def test_ctw_base_and_code_length(spark):
     rows = [(i, t) for i, t, _ in random_docs(80, 5)] + [(900, None), (901, ""), (902, "Never SEEN")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in ctw.scores(docs).collect()}
-    joined = {r.doc_id: r for r in ctw.scores(docs, max_words=0).collect()}
     tokens = lambda t: [*ctw.words(t), None]
     count = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in tokens(t))
     n, v = sum(count.values()), len(count)
     for i, t in rows:
-        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
-        for r in (got[i], joined[i]):
-            assert abs(r.base_score - base) < 1e-6 and r.n_tokens == len(tokens(t)) and r.train_tokens == n
-            assert r.n_known == sum(count[w] > 0 for w in tokens(t)) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
-        assert abs(got[i].score - joined[i].score) < 1e-9 and got[i].score < 0
+        r, base = got[i], sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
+        assert abs(r.base_score - base) < 1e-6 and r.n_tokens == len(tokens(t)) and r.train_tokens == n
+        assert r.n_known == sum(count[w] > 0 for w in tokens(t)) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
+        assert r.score < 0 and math.isclose(r.bits_per_byte, -r.score * math.log2(10) / (len(b" ".join(ctw.words(t))) + 1))
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.n_tokens for r in held) * -4
 
 
+def test_ctw_same_in_any_blocks(spark):
+    rows = [(i, t) for i, t, _ in random_docs(60, 6)] + [(900, "long text of words " * 400), (901, "x" * 5000), (902, " " * 3000 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = lambda **sizes: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in ctw.scores(docs, **sizes).collect())
+    assert found(block_bytes=100, slot_bytes=2000) == found()
+
+
+def test_ctw_long_texts_come_in_runs(monkeypatch):
+    texts = ["", "a b", "long text of words " * 40, "x" * 500, " " * 300 + "End"]
+    clean = [b" ".join(ctw.words(t)) + b"\n" for t in texts]
+    want = ctw.grams(clean)[0]
+    monkeypatch.setattr(ctw, "_CHUNK", 64)
+    assert [[w for run in ctw._word_runs(t) for w in run] for t in texts] == [ctw.words(t) for t in texts]
+    runs = list(ctw._gram_runs(clean))
+    assert max(len(g) for g, _, _ in runs) <= 64 and (ctw.np.concatenate([g for g, _, _ in runs]) == want).all()
+    assert Counter({i: n for i, n in enumerate(map(len, clean))}) == sum((Counter(dict(Counter(ctw.np.repeat(o, s).tolist()))) for _, s, o in runs), Counter())
+
+
 def test_ctw_is_a_probability():
     import numpy as np
 
