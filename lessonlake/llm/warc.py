@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lessonlake.llm._shared import materialize, shared_path
+from lessonlake.llm._shared import filesystem, materialize, qualified, shared_path
 
 _CHUNK = 1 << 16
 #: A writer starts another file beyond this size, so that readers find work of bounded size.
@@ -150,17 +150,9 @@ def read_records(stream: BinaryIO, keep_payload: bool = True) -> Iterator[WarcRe
         ahead = member.inflate.unused_data or stream.read(_CHUNK)
 
 
-def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    from pyarrow import fs
-
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
-
-
 def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         path, out, size, n, done = "", None, 0, 0, []
         for b in batches:
             for row in b.to_pylist():
@@ -190,22 +182,23 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     """Write all ``pages`` (page_id, url, html) under ``folder``; returns (path, records) of each archive.
 
     Of records with equal payloads of ``least_bytes`` or more, that with the largest page_id is the
-    response and the others revisit it. Equal payloads are found by digest and length, pre-aggregated
-    before the shuffle; the payload of a revisit is not written.
+    response and the others revisit it. Equal payloads are found by digest and length; those that
+    occur twice or more are written before the join, so that it can split a hot one, or send the list
+    to the pages where Spark knows it to be small. The payload of a revisit is not written.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     keyed = keyed.withColumns({"sha1": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
-    kept = keyed.groupBy("sha1", "bytes").agg(F.max("page_id").alias("keep"))
-    joined = keyed.join(kept, ["sha1", "bytes"])
+    kept = keyed.groupBy("sha1", "bytes").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    joined = keyed.join(materialize(kept, "repeated-payloads"), ["sha1", "bytes"], "left")
     revisit = (F.col("bytes") >= least_bytes) & F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep"))
     plan = joined.select("page_id", "url", F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), "sha1", "bytes", F.when(revisit, F.col("keep")).alias("refers_to"))
-    return materialize(plan.mapInArrow(_writer(folder), "path string, records long"), "warc-files")
+    return materialize(plan.mapInArrow(_writer(qualified(pages.sparkSession, folder)), "path string, records long"), "warc-files")
 
 
 def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = _filesystem(folder)
+        fs, _ = filesystem(folder)
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
@@ -231,7 +224,7 @@ def _reader(folder: str):
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
     """One row for every record of the archives in ``files`` (column path), read one file after another in each task."""
     spread = files.select("path").repartition(files.sparkSession.sparkContext.defaultParallelism)
-    return spread.mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spread.mapInArrow(_reader(qualified(files.sparkSession, folder)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
