@@ -1,9 +1,9 @@
-"""Stated queries against all vectors, in blocks: each task sees one block of rows and one of queries."""
+"""Stated queries against all vectors: rows in blocks, one index a block, and all queries streamed past it."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lessonlake.llm._shared import materialize
+from lessonlake.llm._shared import filesystem, materialize, qualified, shared_path
 
-ROW_BLOCK = 4096
-QUERY_BLOCK = 512
+#: Rows of a block at most, and rows that are worth a block where cores are idle.
+ROW_BLOCK, LEAST_BLOCK = 32768, 2048
+QUERY_BLOCK = 256
 
 
 def usable(vectors: DataFrame, zero: bool = True) -> DataFrame:
@@ -40,34 +41,46 @@ def matrix(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], v[keep]
 
 
-def block_search(vectors: DataFrame, modulus: int, k: int, kind: str, find: Callable, *, descending: bool) -> DataFrame:
+def _queries(folder: str, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of all queries of one length, a block at a time."""
+    from pyarrow import dataset
+
+    fs, root = filesystem(folder)
+    found = dataset.dataset(root, filesystem=fs, format="parquet")
+    for b in found.to_batches(filter=dataset.field("dim") == dim, columns=["vec_id", "v"], batch_size=QUERY_BLOCK):
+        if b.num_rows:
+            yield matrix(pa.Table.from_batches([b]), dim)
+
+
+def block_search(vectors: DataFrame, modulus: int, k: int, kind: str, build: Callable, find: Callable, *, descending: bool) -> DataFrame:
     """query_id, rank, vec_id and score of the best ``k`` rows for every row whose id ``modulus`` divides.
 
-    ``find(ids, rows, query_ids, queries)`` gives (query position, id, score) of one block's best
-    rows for one block of queries. Rows go to blocks by a hash of their id, so blocks are even
-    whatever the ids or vectors are; their number follows the row count, so a task's memory does not
-    grow with the table. Only vectors of one length meet. A rank needs a block's k best rows alone.
+    ``build(ids, rows)`` makes a block's index, once; ``find(index, query_ids, queries)`` gives (query
+    position, id, score) of its best rows for one block of queries. Rows go to blocks by a hash of
+    their id, so blocks are even whatever the ids or vectors are and a task's memory does not grow
+    with the table. The queries are a written table that each block reads from the shared folder, so
+    rows are shuffled once and queries never. Only vectors of one length meet; a rank needs a block's
+    k best rows alone.
     """
+    spark = vectors.sparkSession
     vectors = materialize(vectors, "vectors")
-    n = vectors.count()
-    blocks, sets = max(1, math.ceil(n / ROW_BLOCK)), max(1, math.ceil(n / modulus / QUERY_BLOCK))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    row_block, query_set = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(sets)).cast("int")
-    rows = vectors.select("dim", row_block.alias("rb"), every(sets).alias("qb"), "vec_id", "v")
-    asked = vectors.where(F.col("vec_id") % modulus == 0).select("dim", every(blocks).alias("rb"), query_set.alias("qb"), "vec_id", "v")
-
-    def cell(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        dim = key[0].as_py()
-        if not mine.num_rows or not theirs.num_rows:
-            at, ids, score = [], [], []
-            qids = np.empty(0, np.int64)
-        else:
-            (ids, v), (qids, q) = matrix(mine, dim), matrix(theirs, dim)
-            at, ids, score = find(ids, v, qids, q)
-        return pa.table({"query_id": pa.array(qids[at] if len(at) else [], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.int64() if kind == "long" else pa.float64())})
-
-    keys = ["dim", "rb", "qb"]
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(cell, f"query_id long, vec_id long, score {kind}")
+    folder = shared_path(spark, "queries")
+    vectors.where(F.col("vec_id") % modulus == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v")).write.parquet(folder)
+    folder, n = qualified(spark, folder), vectors.count()
+    blocks = max(1, math.ceil(n / ROW_BLOCK), min(math.ceil(n / LEAST_BLOCK), 2 * spark.sparkContext.defaultParallelism))
+
+    def search(key: tuple, mine: pa.Table) -> pa.Table:
+        dim, found = key[0].as_py(), []
+        index = build(*matrix(mine, dim))
+        for qids, q in _queries(folder, dim):
+            at, ids, score = find(index, qids, q)
+            found.append((qids[at], ids, score))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] or [[], [], []]
+        kinds = pa.int64(), pa.int64(), pa.int64() if kind == "long" else pa.float64()
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("query_id", "vec_id", "score"), columns, kinds, strict=True)})
+
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    found = vectors.groupBy("dim", block.alias("block")).applyInArrow(search, f"query_id long, vec_id long, score {kind}")
     best = F.col("score").desc() if descending else F.col("score")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

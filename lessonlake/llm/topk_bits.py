@@ -83,14 +83,43 @@ class BitSlices:
         return np.nonzero(unpack(sure) | ties)
 
 
+class _Index:
+    """The bit slices of one block, its integer vectors and their ids."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray) -> None:
+        self.ids, self.floors = ids, np.floor(SCALE * v)
+        self.most = np.abs(self.floors).max(axis=0)
+        self.slices, self.x = None, None
+
+    def whole(self) -> None:
+        if self.slices is None:
+            self.x = self.floors.astype(np.int64)
+            self.slices = BitSlices(self.x)
+
+
+def _exact(index: _Index, y: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best rows by whole numbers of any size; scores stop at the ends of a long."""
+    x, out = [[int(c) for c in row] for row in index.floors], []
+    for i, q in enumerate([[int(c) for c in row] for row in y]):
+        scores = [sum(a * b for a, b in zip(q, row, strict=True)) for row in x]
+        for at in sorted((j for j in range(len(x)) if j != own[i]), key=lambda j: (-scores[j], j))[:k]:
+            out.append((i, at, max(-(1 << 63), min((1 << 63) - 1, scores[at]))))
+    who, row, score = np.array(out, np.int64).reshape(-1, 3).T
+    return who, index.ids[row], score
+
+
 def _find(k: int):
-    def find(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x, y = np.floor(SCALE * v).astype(np.int64), np.floor(SCALE * q).astype(np.int64)
-        index = BitSlices(x)
-        acc, _ = index.scores(y)
-        at = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
-        who, row = index.top(acc, k, np.where(ids[at] == qids, at, -1))
-        return who, ids[row], np.einsum("ij,ij->i", x[row], y[who])
+    def find(index: _Index, qids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        y = np.floor(SCALE * q)
+        at = np.minimum(np.searchsorted(index.ids, qids), len(index.ids) - 1)
+        own = np.where(index.ids[at] == qids, at, -1)
+        if 4 * float((index.most + 1) @ (np.abs(y).max(axis=0) + 1)) >= 2.0**62:  # sums might not fit a machine word
+            return _exact(index, y, own, k)
+        index.whole()
+        y = y.astype(np.int64)
+        acc, _ = index.slices.scores(y)
+        who, row = index.slices.top(acc, k, own)
+        return who, index.ids[row], np.einsum("ij,ij->i", index.x[row], y[who])
 
     return find
 
@@ -102,9 +131,10 @@ def top_k(vectors: DataFrame, modulus: int = 50, k: int = 5) -> DataFrame:
     are null, empty, or hold null or non-finite components take no part, nor do rows without an id.
     Ties go to the smaller vec_id; rows that repeat a vec_id count once, with their first vector in
     order; vectors of another length than the query's are no candidates; fewer than ``k`` candidates
-    give fewer rows; other columns are ignored; an empty table gives no rows. Scores must fit a long.
+    give fewer rows; other columns are ignored; an empty table gives no rows. Where scores might not
+    fit a long, they are added up as whole numbers of any size, and stop at the ends of a long.
     """
-    return block_search(usable(vectors), modulus, k, "long", _find(k), descending=True)
+    return block_search(usable(vectors), modulus, k, "long", _Index, _find(k), descending=True)
 
 
 ORACLE_SQL = """

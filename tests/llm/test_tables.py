@@ -44,11 +44,45 @@ def test_top_k_matches_brute_force(spark):
 def test_nearest_is_exact_at_factor_one(spark):
     df, v = vectors(spark)
     d = np.sqrt(((v[:, None].astype(float) - v[None].astype(float)) ** 2).sum(-1))
-    got = vptree.nearest(df).collect()
+    got = vptree.nearest(df, factor=1.0).collect()
     assert {(r.query_id, r.rank): r.vec_id for r in got} == expected(d, 400, 100, 10, 1)
     assert all(abs(r.score - d[r.query_id][r.vec_id]) < 1e-12 for r in got)
 
 
+def test_several_blocks_give_the_same_rows(spark, monkeypatch):
+    from lessonlake.llm import cells
+
+    df, _ = vectors(spark, n=900)
+    want = [sorted(map(tuple, f(df).collect())) for f in (topk_bits.top_k, lambda d: vptree.nearest(d, factor=1.0))]
+    monkeypatch.setattr(cells, "ROW_BLOCK", 64)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 4)
+    assert [sorted(map(tuple, f(df).collect())) for f in (topk_bits.top_k, lambda d: vptree.nearest(d, factor=1.0))] == want
+
+
+def test_vectors_of_huge_components(spark):
+    v = [[1e300, 1.0], [1e300, 2.0], [-1e300, 0.5], [1e17, 1e17], [2.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    floors = [[int(np.floor(256 * x)) for x in row] for row in v]
+    scores = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(floors[0], floors[i], strict=True)))) for i in range(1, 5)}
+    exact = sorted(range(1, 5), key=lambda i: (-sum(a * b for a, b in zip(floors[0], floors[i], strict=True)), i))
+    got = {r.vec_id: r.score for r in topk_bits.top_k(df).collect()}
+    assert got == scores and exact[0] == 1
+    near = [(r.vec_id, r.score) for r in vptree.nearest(df).collect()]
+    assert {i for i, _ in near} == {1, 2, 3, 4} and near[0] == (1, 1.0) and all(s == float("inf") for _, s in near[1:])
+
+
+def test_relaxed_pruning_keeps_recall_on_whole_tables(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24))
+    v = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 24)) * 0.4
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    d = np.sqrt(((v[::100, None] - v[None]) ** 2).sum(-1))
+    want = {(100 * q, c) for q in range(60) for c in sorted((c for c in range(6000) if c != 100 * q), key=lambda c: (d[q][c], c))[:10]}
+    exact = {(r.query_id, r.vec_id) for r in vptree.nearest(df, factor=1.0).collect()}
+    near = {(r.query_id, r.vec_id) for r in vptree.nearest(df).collect()}
+    assert exact == want and len(near & want) >= 0.95 * len(want)
+
+
 def test_relaxed_pruning_keeps_recall():
     rng = np.random.default_rng(2)
     v, ids = rng.normal(size=(3000, 12)), np.arange(3000)
