@@ -31,8 +31,8 @@ WINDOW = 20
 GRAM = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _ODD)
-#: A place in a document as one long: word position, number of windows, and part of the text's hash.
-_START, _COUNT = 37, 32
+#: A place in a document as one long: word position, and number of windows in the lowest bits.
+_COUNT = 5
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -92,9 +92,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w = Words(text)
                 if w.n >= WINDOW:
                     a, c, first, count = w.hashed().seeds()
-                    out.append((a.view(np.int64), c.view(np.int64), np.full(len(a), doc), first << _START | count << _COUNT | tag))
+                    out.append((a.view(np.int64), c.view(np.int64), np.full(len(a), doc), np.full(len(a), tag), first << _COUNT | count))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "c", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "c", "doc", "tag", "place"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +104,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for text, doc, tag, places in zip(*(part.column(c).to_pylist() for c in ("text", "doc", "tag", "places")), strict=True):
                 place = np.array(places, np.int64)
-                first, count = place >> _START, (place >> _COUNT) & 31
+                first, count = place >> _COUNT, place & 31
                 s = np.unique(np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 w = Words(text).hashed()
-                out.append((w.hash(0, s, s + WINDOW).view(np.int64), w.hash(1, s, s + WINDOW).view(np.int64), np.full(len(s), doc), s << _START | 1 << _COUNT | tag))
+                out.append((w.hash(0, s, s + WINDOW).view(np.int64), w.hash(1, s, s + WINDOW).view(np.int64), np.full(len(s), doc), np.full(len(s), tag), s << _COUNT | 1))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "c", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "c", "doc", "tag", "place"])
 
 
 def cut(text: str | None, places: list[int] | None) -> tuple[int, int, list[bytes]]:
@@ -118,10 +118,10 @@ def cut(text: str | None, places: list[int] | None) -> tuple[int, int, list[byte
     if not places:
         return w.n, 0, w.words
     place = np.array(places, np.int64)
-    first = place >> _START
+    first = place >> _COUNT
     edge = np.zeros(w.n + 1, np.int64)
     np.add.at(edge, first, 1)
-    np.add.at(edge, first + ((place >> _COUNT) & 31) - 1 + WINDOW, -1)
+    np.add.at(edge, first + (place & 31) - 1 + WINDOW, -1)
     stays = np.cumsum(edge[:-1]) == 0
     return w.n, int(w.n - stays.sum()), [x for x, s in zip(w.words, stays.tolist(), strict=True) if s]
 
@@ -136,7 +136,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _start(place: str) -> Column:
-    return F.shiftright(place, _START)
+    return F.shiftright(place, _COUNT)
 
 
 def _earlier(doc: str, place: str) -> Column:
@@ -146,13 +146,13 @@ def _earlier(doc: str, place: str) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Adds ``doc`` (null ids as the smallest) and ``tag`` (tells apart texts that share an id)."""
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "tag": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF))})
+    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "tag": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, tag, places) of every document with words to remove."""
     keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    row = "a long, c long, doc long, place long"
+    row = "a long, c long, doc long, tag long, place long"
     spots = materialize(keyed.select("text", "doc", "tag").mapInArrow(_occurrences, row), "anchors")
     # written first: a join can split a hot key only where no aggregate stands between it and its shuffle
     by_anchor = spots.groupBy("a").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("mixed")).where("n > 1")
@@ -160,21 +160,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = materialize(spots.join(by_anchor.select("a", "mixed"), "a"), "shared-anchors")
     drop_table(spots)
 
-    earliest = F.min(F.struct("doc", "place")).alias("first")
+    earliest = F.min(F.struct("doc", "place", "tag")).alias("first")
     classes = materialize(shared.groupBy("a", "c", "mixed").agg(earliest, F.count(F.lit(1)).alias("n")).where("mixed OR n > 1"), "classes")
     copies = shared.drop("mixed").join(classes.where("n > 1").select("a", "c", "first"), ["a", "c"]).where(_earlier("doc", "place"))
-    copies = materialize(copies.select("doc", "place"), "copied-spans")
+    copies = materialize(copies.select("doc", "tag", "place"), "copied-spans")
     drop_table(shared)
 
-    tag = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")
-    heads = classes.where("mixed").select("first.doc", "first.place")
-    wanted = heads.groupBy("doc", tag).agg(F.collect_list("place").alias("places"))
+    heads = classes.where("mixed").select("first.doc", "first.tag", "first.place")
+    wanted = heads.groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
     single = materialize(keyed.join(wanted, ["doc", "tag"]).select("text", "doc", "tag", "places").mapInArrow(_windows, row), "windows")
     first_of = single.groupBy("a", "c").agg(earliest, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first_of = materialize(first_of, "first-windows")
-    more = single.join(first_of, ["a", "c"]).where(_earlier("doc", "place")).select("doc", "place")
+    more = single.join(first_of, ["a", "c"]).where(_earlier("doc", "place")).select("doc", "tag", "place")
     spans = copies.unionByName(more)
-    return materialize(spans.groupBy("doc", tag).agg(F.collect_set("place").alias("places")), "repeats")
+    return materialize(spans.groupBy("doc", "tag").agg(F.collect_set("place").alias("places")), "repeats")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
