@@ -5,9 +5,11 @@ one half differs in at most one, so the two share at least one of the 64 signatu
 i wiped out". An equality join on signatures therefore finds every link, and each is verified on the
 whole fingerprint. Copies of one fingerprint are one node throughout.
 
-Inside a signature no product of its members is made: members are first linked to their neighbour in
-sorted order and to the smallest member. Only signatures that still hold more than one component
-after that are looked at pair by pair, and only across components.
+Inside a signature no product of its members is made. Members are dealt to parts by the first byte of
+the other half; in a part they are linked to their neighbour in sorted order and to the smallest, and
+the smallest members of a signature's parts are linked alike. Only signatures that still hold more
+than one component after that are looked at again: whoever is outside the largest component meets
+the members with which it shares one of the other half's four bytes, as any link must.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lessonlake.llm._shared import LOWER, materialize
+from lessonlake.llm._shared import LOWER, materialize, packed
 from lessonlake.llm.components import components
 
 SHINGLE = 3
@@ -67,27 +69,47 @@ def _near(a: str, b: str, distance: int) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
+def _neighbours(members: DataFrame, *group: str) -> DataFrame:
+    """(a, b): each member of a group with the one before it, and with the smallest."""
+    order = Window.partitionBy(*group).orderBy("fp")
+    beside = members.withColumns({"back": F.lag("fp").over(order), "least": F.first("fp").over(order)})
+    beside = beside.select("fp", F.explode(F.array("back", "least")).alias("b"))
+    return beside.select(F.col("fp").alias("a"), "b").where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+
+
+def _other_byte(i: F.Column) -> F.Column:
+    """Byte ``i`` (0 to 3) of the half that the signature leaves out."""
+    whole = F.when(F.col("sig") < F.lit(32 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    return F.call_function("shiftright", whole, (i * 8).cast("int")).bitwiseAND(F.lit(255)).cast("int")
+
+
 def fingerprint_roots(nodes: DataFrame) -> DataFrame:
     """(fp, root) for every fingerprint of ``nodes`` (distinct longs ``fp``) that has a link."""
     half = F.when(F.col("i") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     wiped = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, i % 32)")))
     signed = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     signed = signed.select("fp", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(wiped).alias("sig"))
-    order = Window.partitionBy("sig").orderBy("fp")
-    shared = signed.withColumns({"back": F.lag("fp").over(order), "ahead": F.lead("fp").over(order), "least": F.first("fp").over(order)})
-    shared = materialize(shared.where(F.col("back").isNotNull() | F.col("ahead").isNotNull()).drop("ahead"), "signatures")
+    # counted before the join, which can then split a hot signature
+    often = materialize(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "repeated-signatures")
+    shared = signed.join(often, "sig").select("sig", "fp")
+    shared = materialize(shared.withColumn("part", _other_byte(F.lit(3))), "signatures")
 
-    links = shared.select(F.col("fp").alias("a"), F.explode(F.array("back", "least")).alias("b"))
-    links = materialize(links.where((F.col("a") != F.col("b")) & _near("a", "b", DISTANCE)).distinct(), "links")
-    roots = components(links)
+    heads = shared.groupBy("sig", "part").agg(F.min("fp").alias("fp"))
+    links = _neighbours(shared, "sig", "part").unionByName(_neighbours(heads, "sig"))
+    links = materialize(links.where(_near("a", "b", DISTANCE)).distinct(), "links")
+    roots = materialize(components(links), "roots")
 
     labelled = shared.select("sig", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    labelled = labelled.select("sig", "fp", F.coalesce("root", "fp").alias("root"))
-    open_sigs = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    open_rows = materialize(labelled.join(open_sigs, "sig"), "open-signatures")
-    left, right = open_rows.toDF("sig", "a", "ra"), open_rows.toDF("sig", "b", "rb")
-    across = left.join(right, "sig").where((F.col("ra") < F.col("rb")) & _near("a", "b", DISTANCE))
-    across = materialize(across.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+    labelled = materialize(labelled.select("sig", "fp", F.coalesce("root", "fp").alias("root")), "labelled-signatures")
+    sizes = labelled.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_sigs = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    open_sigs = materialize(open_sigs.select("sig", F.col("most.root").alias("largest")), "open-signatures")
+    bytes_of = F.posexplode(F.array(*[_other_byte(F.lit(i)) for i in range(4)])).alias("at", "byte")
+    open_rows = materialize(labelled.join(open_sigs, "sig").select("sig", "fp", "root", "largest", bytes_of), "open-members")
+    left = open_rows.where("root <> largest").select("sig", "at", "byte", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    right = open_rows.select("sig", "at", "byte", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    across = left.join(right, ["sig", "at", "byte"]).where((F.col("ra") != F.col("rb")) & _near("a", "b", DISTANCE))
+    across = materialize(across.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
     if across.isEmpty():
         return roots.withColumnRenamed("node", "fp")
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -119,11 +141,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate component, with all columns: that of the smallest doc_id.
 
-    Of rows that share the smallest id, one of the text with the smallest hash stays.
+    Of rows that share the smallest id, one of the text with the smallest hash stays; a component of
+    null ids alone keeps one row. Null, empty and blank texts are one component; an empty table gives
+    no rows; all columns stay, whatever their names.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first")
     winners = _grouped(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("w_id"), F.col("first.tag").alias("w_tag"))
-    # packed, so that no column of the table can clash with those of the join
-    packed = docs.select(F.struct(*docs.columns).alias("packed"), F.col("doc_id").cast("long").alias("p_id"), _tag().alias("p_tag"))
-    kept = packed.join(winners, (F.col("p_tag") == F.col("w_tag")) & F.col("p_id").eqNullSafe(F.col("w_id")), "left_semi")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("p_id"), _tag().alias("p_tag"))
+    kept = rows.join(winners, (F.col("p_tag") == F.col("w_tag")) & F.col("p_id").eqNullSafe(F.col("w_id")), "left_semi")
     return kept.dropDuplicates(["p_id", "p_tag"]).select("packed.*")
