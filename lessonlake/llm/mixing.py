@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lessonlake.llm._shared import WORD, materialize, word_count
+from lessonlake.llm._shared import WORD, materialize, packed, word_count
 
 BUCKETS = 4096
 WEIGHTS = (5, 2, 1)
@@ -52,11 +52,16 @@ def _source_key(source: Column) -> Column:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    """Adds size, the hash-random key, its range, and a source key that is never null."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    """Adds size, the hash-random key, its range, and a source key that is never null.
+
+    The key is a hash of id and text, so rows without an id, or with the same, spread over the ranges.
+    Rows without words take no part in the order: they are dealt out by their place in the input.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary"))).cast("binary"))
     bucket = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * BUCKETS / 2**32).cast("int")
     sized = docs.withColumns({"size": word_count(F.col("text")), "key": digest, "skey": _source_key(F.col("source"))})
-    return sized.withColumn("bucket", bucket)
+    return sized.withColumn("bucket", F.when(F.col("size") > 0, bucket).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS)).cast("int")))
 
 
 def _placed(sized: DataFrame, narrow: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int) -> DataFrame:
@@ -81,8 +86,8 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[
     ``taken`` counts words, repeats included: whole epochs of the source plus the document's part
     of the last, cut epoch. A source's taken words sum to its target rounded down, and none exceeds
     ``most`` times its size. Null or empty texts have size 0 and take nothing; null sources form one
-    source, the last; rows with equal doc_id share a key and are ordered by size, equal rows are
-    interchangeable; other columns are ignored; an empty table gives no rows.
+    source, the last; equal rows share a key and are interchangeable; other columns are ignored; an
+    empty table gives no rows.
     """
     sized = materialize(_sized(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")
     return _placed(sized, sized, weights, share, most).select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -92,23 +97,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
     """The mixed corpus, with the columns of ``docs``: one row for each time a document is taken.
 
     Only where a source's budget ends is a document cut, to its first words joined by one space.
-    Documents that are not taken, and those without words, have no row.
+    Documents that are not taken, and those without words, have no row. Null sources form one source,
+    the last; repeated rows are each taken; all columns stay, whatever their names; an empty table
+    gives no rows.
     """
-    wide = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
-    placed = _placed(_sized(wide), _sized(docs.select("doc_id", "source", "text")).drop("text"), weights, share, most)
+    wide = docs.select(packed(docs, "row"), "doc_id", "source", "text").where(word_count(F.col("text")) > 0)
+    narrow = docs.select("doc_id", "source", "text")
+    placed = _placed(_sized(wide), _sized(narrow).drop("text"), weights, share, most)
     whole = F.array_repeat(F.col("size"), F.expr("cast(taken div size as int)"))
     part = F.expr("taken % size")
     times = F.when(part > 0, F.concat(whole, F.array(part))).otherwise(whole)
-    taken = placed.where((F.col("size") > 0) & (F.col("taken") > 0)).select("row", "size", F.explode(times).alias("words"))
+    taken = placed.where(F.col("taken") > 0).select("row", "size", F.explode(times).alias("words"))
     first = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
     text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("row.text"))
-    return taken.select("row.*", text.alias("__text")).withColumn("text", F.col("__text")).drop("__text")
+    return taken.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key
+         md5(concat(coalesce(doc_id::VARCHAR, ''), '|', md5(coalesce(text, '')))) AS key
   FROM documents),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size,
