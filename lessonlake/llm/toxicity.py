@@ -1,14 +1,15 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other text, whatever its label says, is unlabelled.
-The class prior is the share of toxic rows among the labelled ones. A linear classifier on hashed
+Confirmed toxic documents are the positives; the unlabelled sample takes the documents of ``labels``
+whatever their label says, toxic ones among them. The class prior is the share of toxic rows among the
+labelled ones. How often a word occurs is counted over all learning documents. A linear classifier on hashed
 word and word-beginning features is trained with numpy on the prior-corrected risk
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 
 (Kiryo et al. 2017): where the bracket turns negative the step ascends it instead, which keeps the
 classifier from learning the few positives by heart. A feature's value is how much oftener it occurs
-in a text than in unlabelled text, so it depends little on the text's length.
+in a text than in the corpus, so it depends little on the text's length.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from lessonlake.llm._shared import held_out, materialize, texts
 
 MODULUS = 3
 THRESHOLD = 0.7
-#: Bounds of the training sample, taken in the order of a hash of doc_id.
+#: Bounds of the sample of labelled rows that fits the classifier, taken in the order of a hash of doc_id.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 BUCKETS = 1 << 18
-FEATURES = 768
+#: Standard errors that a bucket's rates lie apart; by chance, one bucket in 700.
+SIGNIFICANT = 3.0
 BEGINNINGS = range(4, 9)
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _CACHED = 1 << 18
@@ -69,20 +71,43 @@ class Counts:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count, sums, words = Counts(), np.zeros((3, BUCKETS), np.int64), 0
+    """How many positive and unlabelled texts have each bucket."""
+    count, sums = Counts(), np.zeros((2, BUCKETS), np.int64)
     for b in batches:
         for text, positive in zip(texts(b), b.column("positive").to_pylist(), strict=True):
-            n, total = count(text)
-            at = np.fromiter(total, np.int64, len(total))
-            if positive:
-                sums[0, at] += 1
-            else:
-                sums[1, at] += 1
-                sums[2, at] += np.fromiter(total.values(), np.int64, len(total))
-                words += n
+            at = np.fromiter(count(text)[1], np.int64)
+            sums[0 if positive else 1, at] += 1
     at = np.flatnonzero(sums.any(axis=0))
-    rows = np.vstack([np.append(at, -1), np.append(sums[:, at], [[0], [0], [words]], axis=1)])
-    yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["bucket", "p", "u", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, sums[:, at])], names=["bucket", "p", "u"])
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of all texts with their counts, in parts that a task can hold."""
+    total: Counter = Counter()
+
+    def told() -> pa.RecordBatch:
+        names = [w.encode("utf-8", "surrogatepass") for w in total]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([*total.values()], pa.int64())], names=["word", "n"])
+
+    for b in batches:
+        for text in texts(b):
+            total.update((text or "").lower().split())
+            if len(total) > _CACHED:
+                yield told()
+                total.clear()
+    yield told()
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each bucket, and of all words (-1)."""
+    sums = np.zeros(BUCKETS + 1, np.int64)
+    for b in batches:
+        for word, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+            sums[-1] += n
+            for f in features(word.decode("utf-8", "surrogatepass")):
+                sums[f] += n
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(np.where(at == BUCKETS, -1, at)), pa.array(sums[at])], names=["bucket", "n"])
 
 
 def _values(count: Counts, background: np.ndarray, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -101,26 +126,48 @@ def _sparse(chosen: dict[int, int], background: np.ndarray):
     return rows
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear classifier with the least non-negative risk, by Adam on all rows."""
-    d = positive.shape[1]
-    theta, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
-    theta[d] = np.log(prior / (1 - prior))
+class _Rows:
+    """A sparse matrix: rows of features that are mostly absent. Entries are put in one order, so that sums don't depend on the tasks."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, here: np.ndarray, width: int) -> None:
+        self.size, self.width = int(here.sum()), width
+        row = (np.cumsum(here) - 1)[row]
+        # rows by their content: the sum and the first of their values
+        total, first = np.bincount(row, value, self.size), np.full(self.size, width)
+        np.minimum.at(first, row, column)
+        place = np.empty(self.size, np.int64)
+        place[np.lexsort((np.bincount(row, value * column, self.size), total, first))] = np.arange(self.size)
+        order = np.lexsort((column, place[row]))
+        self.row, self.column, self.value = place[row][order], column[order], value[order]
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * weights[self.column], self.size)
+
+    def mean(self, slope: np.ndarray) -> np.ndarray:
+        """The mean over rows of slope times features, and of the slope."""
+        return np.append(np.bincount(self.column, self.value * slope[self.row], self.width), slope.sum()) / self.size
+
+
+def risk(positive: _Rows, unlabelled: _Rows, prior: float, theta: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of weights and bias: the positive part and the bracket of the risk under the logistic loss, and their gradients."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    gp, gu = (sigmoid(x.times(theta[:-1]) + theta[-1]) for x in (positive, unlabelled))
+    loss = lambda g: -np.log(np.clip(g, 1e-12, 1)).mean()
+    bracket = loss(1 - gu) - prior * loss(1 - gp)
+    return prior * loss(gp), bracket, prior * positive.mean(gp - 1), unlabelled.mean(gu) - prior * positive.mean(gp)
 
-    def grad(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(x.T @ slope, slope.sum()) / len(x)
 
+def nnpu(positive: _Rows, unlabelled: _Rows, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear classifier with the least non-negative risk, by Adam on all rows."""
+    theta, m, v = (np.zeros(positive.width + 1) for _ in range(3))
+    theta[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        gp, gu = sigmoid(positive @ theta[:d] + theta[d]), sigmoid(unlabelled @ theta[:d] + theta[d])
-        # logistic loss: loss(+) has slope g - 1, loss(-) has slope g
-        negative = -np.log1p(-np.clip(gu, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(gp, 0, 1 - 1e-12)).mean()
-        minus = grad(unlabelled, gu) - prior * grad(positive, gp)
-        g = prior * grad(positive, gp - 1) + minus if negative >= 0 else -minus
-        g[:d] += decay * theta[:d]
+        _, bracket, plus, minus = risk(positive, unlabelled, prior, theta)
+        g = plus + minus if bracket >= 0 else -minus
+        g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[:d], float(theta[d])
+    return theta[:-1], float(theta[-1])
 
 
 class Model:
@@ -130,18 +177,29 @@ class Model:
         self.chosen, self.background, self.weights, self.bias = chosen, background, weights, bias
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on rows whose crc32(doc_id) mod 3 is not 1: at most ``MAX_POSITIVE`` toxic and ``MAX_UNLABELLED`` other texts.
+def _background(docs: DataFrame) -> np.ndarray:
+    """The share of each bucket in the words of all learning documents."""
+    learning = docs.where(~held_out(F.col("doc_id").cast("long"), MODULUS)).select("text")
+    words = learning.mapInArrow(_vocabulary, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = words.mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS + 1 rows at most
+    sums = np.zeros(BUCKETS + 1, np.int64)
+    sums[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return sums[:BUCKETS] / max(1, int(sums[-1]))
 
-    Without a toxic or without an unlabelled learning row, the model scores everything 0.
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+    """Fit on rows whose crc32(doc_id) mod 3 is not 1: at most ``max_positive`` toxic and ``max_unlabelled`` labelled texts, whose labels are not looked at.
+
+    Background rates are those of all learning documents; every bucket that is significantly commoner
+    in toxic texts is a feature. Without a toxic or without an unlabelled learning row, the model
+    scores everything 0.
     """
     order = F.xxhash64(F.col("doc_id").cast("long"))
     told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), MODULUS))
     told = told.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     prior = told.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    toxic = told.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_POSITIVE).select("doc_id", F.lit(1).alias("positive"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), MODULUS))
-    other = ids.orderBy(order, "doc_id").limit(MAX_UNLABELLED).distinct().select("doc_id", F.lit(0).alias("positive"))
+    toxic = told.where("toxic = 1").orderBy(order, "doc_id").limit(max_positive).select("doc_id", F.lit(1).alias("positive"))
+    other = told.orderBy(F.xxhash64(F.col("doc_id"), F.lit("unlabelled")), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("positive"))
     # two bounded lists of ids, so they may be broadcast; a toxic row may be among the unlabelled too
     chosen_ids = F.broadcast(toxic.unionByName(other))
     sample = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen_ids, "doc_id"), "tox-sample")
@@ -151,28 +209,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return empty
     prior = min(max(prior, 1e-4), 0.9)
 
-    sums = sample.select("text", "positive").mapInArrow(_tally, "bucket long, p long, u long, n long")
-    rows = sums.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    bucket, p, u, n = (rows.column(c).to_numpy() for c in ("bucket", "p", "u", "n"))
-    words = max(1, int(n[bucket == -1].sum()))
-    bucket, p, u, n = (a[bucket >= 0] for a in (bucket, p, u, n))
+    sums = sample.select("text", "positive").mapInArrow(_tally, "bucket long, p long, u long")
+    rows = sums.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()  # BUCKETS rows at most
+    bucket, p, u = (rows.column(c).to_numpy() for c in ("bucket", "p", "u"))
     fp, fu = p / size[1], u / size[0]
     pooled = (p + u) / (size[1] + size[0])
     z = (fp - fu) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / size[1] + 1 / size[0]))
-    use = np.flatnonzero((p >= 2) & (z > 2))
-    use = use[np.lexsort((bucket[use], -z[use]))][:FEATURES]
+    use = np.sort(bucket[(p >= 2) & (z > SIGNIFICANT)])
     if not len(use):
         return empty
-    chosen, background = {int(b): i for i, b in enumerate(bucket[use])}, n[use] / words
+    chosen, background = {int(b): i for i, b in enumerate(use)}, _background(docs)[use]
 
     found = sample.select("text", "positive").mapInArrow(_sparse(chosen, background), "positive int, at array<long>, v array<double>").toArrow()
-    x = np.zeros((found.num_rows, len(use)), np.float32)
     at, v = found.column("at").combine_chunks(), found.column("v").combine_chunks()
-    x[np.repeat(np.arange(found.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()] = v.flatten().to_numpy()
+    rows_of, flat, values = np.repeat(np.arange(found.num_rows), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy(), v.flatten().to_numpy()
     is_p = found.column("positive").to_numpy() == 1
-    order = np.lexsort(x.T[:8])  # a fixed order, for sums that don't depend on the tasks
-    x, is_p = x[order], is_p[order]
-    weights, bias = nnpu(x[is_p], x[~is_p], prior)
+    sides = [_Rows(rows_of[is_p[rows_of] == side], flat[is_p[rows_of] == side], values[is_p[rows_of] == side], is_p == side, len(use)) for side in (True, False)]
+    weights, bias = nnpu(*sides, prior)
     return Model(chosen, background, weights, bias)
 
 
@@ -196,7 +249,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return narrow.mapInArrow(_scorer(model.chosen, model.background, model.weights, model.bias), "doc_id long, score double")
 
 
-def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def predictions(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
     ``labels`` (doc_id, toxic) is used for learning rows alone; repeated labels of a document count
@@ -204,22 +257,28 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows each get a row and equal texts equal scores; rows without an id are scored like any other and
     are not held out; other columns are ignored; an empty table gives no rows.
     """
-    scored = score(docs, train(docs, labels))
+    scored = score(docs, train(docs, labels, max_positive, max_unlabelled))
     return scored.select("doc_id", held_out(F.col("doc_id"), MODULUS).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _marker(chosen: dict[int, int], background: np.ndarray, weights: np.ndarray, bias: float):
+def _marker(column: str, chosen: dict[int, int], background: np.ndarray, weights: np.ndarray, bias: float):
     inner = _scorer(chosen, background, weights, bias)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (scored,) = inner(iter([b.select(["text"])]))
+            (scored,) = inner(iter([pa.RecordBatch.from_arrays([b.column(column)], names=["text"])]))
             yield b.filter(pa.array(np.asarray(scored.column("score")) < THRESHOLD))
 
     return keep
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted toxic."""
-    model = train(docs, labels)
-    return docs.mapInArrow(_marker(model.chosen, model.background, model.weights, model.bias), docs.schema)
+def keep_clean(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic.
+
+    Null and empty texts are scored like any other, as texts without features; repeated rows share
+    their fate; columns may have any names; an empty table gives no rows. See ``predictions``.
+    """
+    model = train(docs, labels, max_positive, max_unlabelled)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names that a Python function can be given
+    marker = _marker(f"c{docs.columns.index('text')}", model.chosen, model.background, model.weights, model.bias)
+    return plain.mapInArrow(marker, plain.schema).toDF(*docs.columns)

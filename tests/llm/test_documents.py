@@ -67,10 +67,20 @@ def test_mixing_odd_rows(docs, no_docs):
     got = mixing.mix_sizes(docs).collect()
     assert len(got) == 10 and all(r.taken == 0 for r in got if r.size == 0)
     assert {r.source for r in got} == {"a", "b", "c", "d", None}
-    assert mixing.mix(docs).columns == docs.columns
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {(r["a.b"], r["__text"], r.extra) for r in mixed.collect()} == {("dot", "t", "x")}
     assert mixing.mix_sizes(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_without_ids(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, "w " * (i % 9), "s") for i in range(400)] + [(None, None, None)] * 50, "doc_id long, text string, source string")
+    sized = mixing._sized(docs)
+    spread = [r["count"] for r in sized.where("size > 0").groupBy("bucket").count().collect()]
+    assert len(spread) == 16  # 8 texts, with an id and without
+    got = mixing.mix_sizes(docs).collect()
+    assert len(got) == 450 and sum(r.taken for r in got) == sum(r.size for r in got) * 3 // 2
+
+
 # ---- simhash ------------------------------------------------------------------------------------
 def slow_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode())
@@ -129,12 +139,24 @@ def test_links_across_open_signatures(spark):
                 assert roots[a] == roots[b]
 
 
+def test_roots_of_a_hot_signature(spark):
+    # one half is the same for all: strangers, near copies of one another, and chains between them
+    random.seed(14)
+    low = [random.getrandbits(32) for _ in range(400)]
+    low += [low[0] ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)]
+    values = sorted({0xABCD << 32 | v for v in low} | {0xABCF << 32 | v ^ 0b101 for v in low[:40]})
+    got = {r.fp: r.root for r in simhash.fingerprint_roots(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
+    want = slow_components({v: v for v in values})
+    assert {v: got.get(v, v) for v in values} == want
+
+
 def test_simhash_odd_rows(docs, no_docs):
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got[(1, "0" * 16)] == got[(2, "0" * 16)] == got[(3, "0" * 16)] == 1
     assert {c for (i, _), c in got.items() if i == 5} == {4}
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 6, 7, 8]
+    assert {(r["a.b"], r.packed) for r in kept.collect()} == {("dot", "p")}
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
 
 
@@ -165,6 +187,20 @@ def test_substring_matches_brute_force(spark):
     assert sorted(tuple(r) for r in got) == slow_cut(rows)
 
 
+def test_substring_positions_are_wide():
+    # two windows far beyond 2**26 words: the places hold them
+    at = (1 << 34) - 7
+    place = at << substring._COUNT | 16
+    assert place >> substring._COUNT == at and place & 31 == 16
+
+
+def test_substring_without_ids(spark):
+    texts = [f"{i} " + " ".join(f"w{j}" for j in range(25)) for i in range(6)]
+    rows = [(None, t) for t in texts] + [(3, texts[0]), (3, "y " * 30)]
+    got = Counter((r.doc_id, r.n_removed) for r in substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, 0): 6, (3, 25 + 1): 1, (3, 28 + 2 - 20): 0} or got[(None, 0)] == 6 and got[(3, 26)] == 1
+
+
 def test_substring_odd_rows(docs, no_docs):
     got = substring.deduplicate(docs).collect()
     assert len(got) == 10
@@ -198,6 +234,65 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.keep_clean(docs, labels).count() == sum(r.predicted == 0 for r in got)
 
 
+def test_risk_and_its_gradient():
+    np = toxicity.np
+    rng = np.random.default_rng(5)
+    dense = [(rng.random((n, 7)) < 0.4) * rng.random((n, 7)) for n in (9, 14)]
+    sparse = [toxicity._Rows(*np.nonzero(x), x[np.nonzero(x)], np.ones(len(x), bool), 7) for x in dense]
+    prior, theta = 0.2, rng.normal(size=8)
+
+    def parts(theta):
+        zp, zu = (x @ theta[:7] + theta[7] for x in dense)
+        loss = lambda z: np.log(1 + np.exp(-z)).mean()
+        return prior * loss(zp), loss(-zu) - prior * loss(-zp)
+
+    plus, bracket, grad_plus, grad_bracket = toxicity.risk(*sparse, prior, theta)
+    assert np.allclose((plus, bracket), parts(theta))
+    for part, grad in ((0, grad_plus), (1, grad_bracket)):
+        slow = [(parts(theta + e)[part] - parts(theta - e)[part]) / 2e-6 for e in np.eye(8) * 1e-6]
+        assert np.allclose(grad, slow, atol=1e-6)
+    # few positives, and a bracket that turns negative: the step ascends it, so the fit stays finite
+    weights, bias = toxicity.nnpu(*sparse, 0.6, steps=50)
+    assert np.isfinite(weights).all() and np.isfinite(bias)
+
+
+def test_toxicity_features_are_the_documented_ones(spark):
+    np = toxicity.np
+    docs, labels = toxic_tables(spark, 300)
+    texts, told = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    learning = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    model = toxicity.train(docs, labels)
+    count, words = Counter(), 0
+    for t in learning.values():
+        for w in t.lower().split():
+            words += 1
+            count.update(toxicity.features(w))
+    has = lambda i: {f for w in texts[i].lower().split() for f in toxicity.features(w)}
+    sides = [[has(i) for i, y in told.items() if i in learning and (y == 1 or not side)] for side in (1, 0)]
+    want = []
+    for f in set().union(*sides[1]):
+        p, u = (sum(f in h for h in s) for s in sides)
+        pooled = (p + u) / (len(sides[0]) + len(sides[1]))
+        z = (p / len(sides[0]) - u / len(sides[1])) / math.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / len(sides[0]) + 1 / len(sides[1])))
+        if p >= 2 and z > toxicity.SIGNIFICANT:
+            want.append(f)
+    assert [*model.chosen] == sorted(want)
+    assert np.allclose(model.background, [count[f] / words for f in model.chosen])
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i in list(texts)[:50]:
+        c = Counter(f for w in texts[i].lower().split() for f in toxicity.features(w))
+        z = model.bias + sum(model.weights[j] * math.log2(1 + c[f] / (1 + len(texts[i].split()) * model.background[j])) for f, j in model.chosen.items())
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+    assert toxicity.predictions(docs, labels, max_positive=10, max_unlabelled=40).count() == 300
+
+
+def test_keep_clean_odd_rows(spark, docs, no_docs):
+    _, labels = toxic_tables(spark)
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == 10 and {r["a.b"] for r in kept.collect()} == {"dot"}
+    assert toxicity.keep_clean(no_docs, labels).count() == 0
+
+
 def test_toxicity_odd_rows(spark, docs, no_docs):
     _, labels = toxic_tables(spark)
     none = labels.where("false")
@@ -477,4 +572,6 @@ def test_pii_odd_rows(docs, no_docs):
     assert pii.span_digests(docs).count() == 10 and pii.span_digests(no_docs).count() == 0
     clean = pii.redact(docs)
     assert clean.columns == docs.columns and {r.text for r in clean.where("doc_id = 4").collect()} == {"The quick brown fox, write to [EMAIL]"}
-    assert {r.base for r in clean.collect()} == {"b"}
+    assert {(r.base, r["a.b"], r.extra, r.cuts) for r in clean.collect()} == {("b", "dot", "x", "c")}
+    found = pii.find_spans(docs)
+    assert found.columns == [c for c in docs.columns if c not in ("base", "spans")] + ["base", "spans"] and found.count() == 10
