@@ -37,7 +37,7 @@ DEPTH = 5
 #: Contexts up to this length are one small tree (256**3 contexts and bytes at most); longer ones are dealt out.
 TOP = 2
 #: Bytes of text that ask together, that are looked at together, and that there is a slot for.
-_BLOCK, _CHUNK, _SLOT = 32 << 20, 4 << 20, 16 << 20
+_BLOCK, _CHUNK, _SLOT = 24 << 20, 2 << 20, 16 << 20
 _END = b"\n"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SMALL = np.array([math.lgamma(k + 0.5) for k in range(256)])
