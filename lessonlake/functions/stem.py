@@ -54,7 +54,7 @@ def porter(word: str) -> str:
     if size < 3 or size > 64:
         return word
     if word.endswith("s"):
-        if word.endswith("sses") or word.endswith("ies"):
+        if (word.endswith("sses") and size > 4) or (word.endswith("ies") and size > 3):
             word = word[:-2]
         elif not word.endswith("ss"):
             word = word[:-1]

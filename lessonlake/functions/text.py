@@ -165,8 +165,12 @@ def first_line(text: Column) -> Column:
 
 
 def truncated(text: Column, most: int) -> Column:
-    """at most ``most`` bytes, then a mark."""
-    return F.when(F.octet_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…[truncated]"))).otherwise(text)
+    """at most ``most`` bytes, cut at a character's end, then a mark."""
+    data = text.cast("binary")
+    # the two hexadecimal digits of byte ``most`` - 2 and the three after; 8 to B begin the bytes inside a character
+    inside = lambda i: F.substring(F.hex(F.substring(data, most - 2, 4)), 2 * i - 1, 1).isin("8", "9", "A", "B")
+    keep = F.when(~inside(4), most).when(~inside(3), most - 1).when(~inside(2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) > most, F.concat(F.substring(data, F.lit(1), keep).cast("string"), F.lit("…[truncated]"))).otherwise(text)
 
 
 def last_name(name: Column) -> Column:
@@ -179,6 +183,11 @@ def is_exported(name: Column) -> Column:
     return last_name(name).rlike(r"\A\p{Lu}")
 
 
+def older(created_at: Column, now: int, days: int) -> Column:
+    """created before the cutoff of ``days`` ago."""
+    return created_at < now - days * 86400
+
+
 def clamp(limit: Column, default: int, most: int) -> Column:
     """a missing or non-positive limit is the default."""
     return F.least(F.when(F.coalesce(limit, F.lit(0)) <= 0, default).otherwise(limit), F.lit(most))

@@ -12,32 +12,51 @@ from lessonlake.sources.shared import materialize
 SAVE_THRESHOLD, SUGGEST_THRESHOLD = 0.85, 0.6
 
 
-def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(earlier, later, jaccard) of rows of one task type and kind whose token sets reach ``threshold``.
+def token_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with equal token sets inside one task type and kind are a class, named by its earliest member.
 
-    Sets are ordered by rarity; two sets at Jaccard t share a token among the first |x| - ceil(t|x|) + 1
-    of each (Bayardo et al. 2007), and the smaller has t times the larger's size. Equal sets are one
-    entry of the join: copies meet through their representative alone and are expanded at the end.
+    Returns members (id, rep) and classes (rep, created_at, grp, tokens), both written tables. The
+    earliest member is pre-aggregated before its shuffle and written before the join, which can so
+    split a class that holds a large share of all rows.
     """
     sets = rows.select("id", "created_at", F.concat_ws("|", "task_type", "kind").alias("grp"), F.array_sort(T.tokens(body())).alias("tokens")).where(F.size("tokens") > 0)
     sets = materialize(sets.withColumn("key", F.sha2(F.concat_ws(" ", F.array("grp"), "tokens"), 256)), "token-sets")
-    classes = sets.groupBy("key").agg(F.first("grp").alias("grp"), F.first("tokens").alias("tokens"))
-    spread = classes.select("key", "grp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rarity = spread.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = spread.join(rarity, ["grp", "token"]).groupBy("key", "grp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    firsts = materialize(sets.groupBy("key").agg(F.min(F.struct("created_at", "id")).alias("first")), "first-members")
+    members = materialize(sets.select("id", "key").join(firsts, "key").select("id", F.col("first.id").alias("rep")), "class-members")
+    classes = sets.join(firsts, (sets["key"] == firsts["key"]) & (F.col("id") == F.col("first.id"))).select(F.col("id").alias("rep"), "created_at", "grp", "tokens")
+    return members, materialize(classes.dropDuplicates(["rep"]), "token-classes")
+
+
+def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(earlier, later, jaccard) of the representatives of one group whose token sets reach ``threshold``.
+
+    Sets are ordered by rarity; two sets at Jaccard t share a token among the first |x| - ceil(t|x|) + 1
+    of each (Bayardo et al. 2007), and the smaller has t times the larger's size.
+    """
+    spread = classes.select("rep", "grp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rarity = materialize(spread.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df")), "rarity")
+    ordered = spread.join(rarity, ["grp", "token"]).groupBy("rep", "grp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = ordered.select("key", "grp", "n", F.explode(F.slice("ts", F.lit(1), keep.cast("int"))).alias("t")).select("key", "grp", "n", "t.token")
+    prefix = ordered.select("rep", "grp", "n", F.explode(F.slice("ts", F.lit(1), keep.cast("int"))).alias("t")).where("t.df > 1")
+    prefix = materialize(prefix.select("rep", "grp", "n", "t.token"), "prefixes")
     left, right = prefix.toDF("a", "grp", "na", "token"), prefix.toDF("b", "grp", "nb", "token")
     close = (F.col("nb") >= threshold * F.col("na") - 1e-9) & (F.col("na") >= threshold * F.col("nb") - 1e-9)
     met = left.join(right, ["grp", "token"]).where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    tokens = classes.select("key", "tokens")
-    checked = met.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b").withColumn("jaccard", T.jaccard(F.col("ta"), F.col("tb")))
-    linked = checked.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
-    linked = linked.unionByName(classes.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("jaccard")))
-    x, y = sets.select(F.col("key").alias("a"), F.col("id").alias("ia"), F.col("created_at").alias("ca")), sets.select(F.col("key").alias("b"), F.col("id").alias("ib"), F.col("created_at").alias("cb"))
-    pairs = linked.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.struct("ca", "ia") < F.struct("cb", "ib")))
-    first = F.struct("ca", "ia") < F.struct("cb", "ib")
-    return pairs.select(F.when(first, F.col("ia")).otherwise(F.col("ib")).alias("earlier"), F.when(first, F.col("ib")).otherwise(F.col("ia")).alias("later"), "jaccard")
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("created_at").alias(f"c{x}"), F.col("tokens").alias(f"t{x}"))
+    checked = met.join(side("a"), "a").join(side("b"), "b").withColumn("jaccard", T.jaccard(F.col("ta"), F.col("tb"))).where(F.col("jaccard") >= threshold)
+    first = F.struct("ca", "a") < F.struct("cb", "b")
+    return checked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later"), "jaccard")
+
+
+def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(earlier, later, jaccard): pairs between class representatives, and each further member of a class with its representative.
+
+    With the members' lines this tells all pairs; they are not expanded, as copies in thousands would
+    give millions.
+    """
+    members, classes = token_classes(rows)
+    copies = members.where("id <> rep").select(F.col("rep").alias("earlier"), F.col("id").alias("later"), F.lit(1.0).alias("jaccard"))
+    return similar_classes(classes, threshold).unionByName(copies)
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
@@ -63,10 +82,17 @@ def greedy(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, threshold: float = SAVE_THRESHOLD) -> DataFrame:
-    """(id, matched_id, jaccard) of the rows that a save in order of arrival would skip."""
-    pairs = materialize(similar_pairs(rows, threshold), "near-pairs")
+    """(id, matched_id, jaccard) of the rows that a save in order of arrival would skip.
+
+    Only representatives can be accepted, so the fold runs over classes: a further member of a class is
+    skipped for what its representative matched, or for the representative where that was accepted.
+    """
+    members, classes = token_classes(rows)
+    pairs = materialize(similar_classes(classes, threshold), "near-pairs")
     skipped = greedy(pairs).where("id <> seed").select(F.col("id").alias("later"), F.col("seed").alias("earlier"))
-    return skipped.join(pairs, ["earlier", "later"]).select(F.col("later").alias("id"), F.col("earlier").alias("matched_id"), F.round("jaccard", 6).alias("jaccard"))
+    skipped = materialize(skipped.join(pairs, ["earlier", "later"]).select(F.col("later").alias("rep"), F.col("earlier").alias("matched_id"), "jaccard"), "skipped-classes")
+    told = members.join(skipped, "rep", "left").where((F.col("id") != F.col("rep")) | F.col("matched_id").isNotNull())
+    return told.select("id", F.coalesce("matched_id", "rep").alias("matched_id"), F.round(F.coalesce("jaccard", F.lit(1.0)), 6).alias("jaccard"))
 
 
 def suggest_duplicates(rows: DataFrame, threshold: float = SUGGEST_THRESHOLD) -> DataFrame:

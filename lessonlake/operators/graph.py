@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lessonlake.sources.shared import drop_table, materialize
+from lessonlake.sources.shared import materialize, shared_path
 
 CAP, CLOSURE_CAP, PATH_LEVELS = 50, 500, 10
 
@@ -31,23 +31,32 @@ def _steps(edges: DataFrame, up: bool) -> DataFrame:
 
 
 def reach(starts: DataFrame, edges: DataFrame, up: bool, depth: int | None, enough: int | None = None, include_start: bool = False) -> DataFrame:
-    """(start, id, depth): every node at its first depth. Levels are written tables; a start with ``enough`` nodes goes no further."""
-    steps = _steps(edges, up)
-    begin = starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("depth")).distinct()
-    seen = begin if not include_start else begin.where("false")
-    frontier, level = begin, 0
+    """(start, id, depth): every node at its first depth. A start with ``enough`` nodes goes no further.
+
+    Each level is written once, as a partition of one table; what was seen is that table.
+    """
+    spark, root = starts.sparkSession, shared_path(starts.sparkSession, "reached")
+    schema = f"start {starts.schema['id'].dataType.simpleString()}, id {starts.schema['id'].dataType.simpleString()}"
+    seen = lambda: spark.read.schema(f"{schema}, depth long").option("basePath", root).parquet(f"{root}/depth=*")
+    steps = materialize(_steps(edges, up), "steps")
+    frontier = starts.select(F.col("id").alias("start"), "id").distinct()
+    if not include_start:
+        frontier.write.parquet(f"{root}/depth=0")
+    level = 0
     while depth is None or level < depth:
         level += 1
-        found = frontier.select("start", "id").join(steps, "id").select("start", F.col("next").alias("id")).distinct()
-        fresh = materialize(found.join(seen, ["start", "id"], "left_anti").withColumn("depth", F.lit(level).cast("long")), "frontier")
+        fresh = frontier.join(steps, "id").select("start", F.col("next").alias("id")).distinct()
+        if level > 1 or not include_start:
+            fresh = fresh.join(seen().drop("depth"), ["start", "id"], "left_anti")
+        fresh.write.parquet(f"{root}/depth={level}")
+        fresh = spark.read.schema(schema).parquet(f"{root}/depth={level}")
         if fresh.isEmpty():
             break
-        seen = materialize(seen.unionByName(fresh), "reached")
         frontier = fresh
         if enough is not None:
-            open_starts = seen.groupBy("start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < enough).select("start")
+            open_starts = seen().groupBy("start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < enough).select("start")
             frontier = fresh.join(open_starts, "start", "left_semi")
-    return seen
+    return seen()
 
 
 def neighbours(starts: DataFrame, symbols: DataFrame, edges: DataFrame, up: bool = True, depth: int = 1, cap: int = CAP) -> DataFrame:
@@ -89,12 +98,71 @@ def shortest_path(pairs: DataFrame, edges: DataFrame, levels: int = PATH_LEVELS)
     return done.select("start", "target", F.size("path").cast("long").alias("length"), "path")
 
 
+def _listed(implements: DataFrame, symbols: DataFrame, of: str, other: str, cap: int) -> DataFrame:
+    named = implements.join(symbols.select(F.col("id").alias(other), "qname"), other)
+    total = named.groupBy(of).agg(F.count(F.lit(1)).alias("total"))
+    ranked = named.withColumn("position", F.row_number().over(Window.partitionBy(of).orderBy("qname")).cast("long")).where(F.col("position") <= cap)
+    return ranked.join(total, of).select(of, "position", other, "total")
+
+
 def implementers(implements: DataFrame, symbols: DataFrame, cap: int = CAP) -> DataFrame:
     """(iface, position, impl, total) by qname."""
-    named = implements.join(symbols.select(F.col("id").alias("impl"), "qname"), "impl")
-    group = Window.partitionBy("iface")
-    ranked = named.withColumns({"position": F.row_number().over(group.orderBy("qname")).cast("long"), "total": F.count(F.lit(1)).over(group)})
-    return ranked.where(F.col("position") <= cap).select("iface", "position", "impl", "total")
+    return _listed(implements, symbols, "iface", "impl", cap)
+
+
+def satisfies(implements: DataFrame, symbols: DataFrame, cap: int = CAP) -> DataFrame:
+    """G6 the other way: (impl, position, iface, total), the interfaces that a type satisfies, by qname."""
+    return _listed(implements, symbols, "impl", "iface", cap)
+
+
+def fan(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, callers, callees) of every symbol, 0 where it has none."""
+    into = edges.groupBy(F.col("callee").alias("id")).agg(F.countDistinct("caller").alias("callers"))
+    out = edges.groupBy(F.col("caller").alias("id")).agg(F.countDistinct("callee").alias("callees"))
+    joined = symbols.select("id").join(into, "id", "left").join(out, "id", "left")
+    return joined.select("id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("callers", "callees")])
+
+
+def index_size(**tables: DataFrame) -> DataFrame:
+    """A10: (name, n) of the index's tables."""
+    parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def nearest_direct(symbols: DataFrame, edges: DataFrame, cap: int) -> DataFrame:
+    """(start, id, r): the first ``cap`` direct callers of every symbol, own package before others, then by qname."""
+    own = symbols.select(F.col("id").alias("callee"), F.col("package").alias("own"))
+    placed = edges.join(own, "callee").join(symbols.select(F.col("id").alias("caller"), "package", "qname"), "caller")
+    order = Window.partitionBy("callee").orderBy((F.col("package") != F.col("own")).cast("int"), "qname")
+    ranked = placed.withColumn("r", F.row_number().over(order).cast("long")).where(F.col("r") <= cap)
+    return ranked.select(F.col("callee").alias("start"), F.col("caller").alias("id"), "r")
+
+
+def resolve_packages(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(query_id, package): the shortest package that a request's ``name`` is, or is the tail of after a slash; then the first by name.
+
+    Packages are exploded into their tails, so this is an equality join.
+    """
+    parts = F.split("package", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    keys = symbols.select("package").distinct().select("package", F.explode(tails).alias("name"))
+    asked = requests.select("query_id", F.btrim("name", F.lit("/")).alias("name"))
+    return asked.join(keys, "name").groupBy("query_id").agg(F.min(F.struct(F.length("package").alias("n"), "package"))["package"].alias("package"))
+
+
+def package_surface(requests: DataFrame, symbols: DataFrame, most: int = 200, doc_bytes: int = 120) -> DataFrame:
+    """(query_id, package, position, id, doc, unexported, truncated): the exported symbols of the resolved package by line, the first line of their doc, the number of the others, and whether symbols were left out."""
+    from lessonlake.functions import text as T
+
+    found = resolve_packages(requests, symbols)
+    census = symbols.groupBy("package").agg(F.count_if(~F.col("exported")).alias("unexported"), (F.count_if("exported") > most).alias("truncated"))
+    order = Window.partitionBy("package").orderBy("line", "id")
+    ranked = symbols.where("exported").withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= most)
+    told = ranked.select("package", "position", "id", T.truncated(T.first_line(F.col("doc")), doc_bytes).alias("doc"))
+    return found.join(told, "package").join(census, "package").select("query_id", "package", "position", "id", "doc", "unexported", "truncated")
 
 
 def hints(symbols: DataFrame, edges: DataFrame, implements: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ statistics are corpus-wide, so filters apply after scoring. Every ranking ends i
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lessonlake.functions import text as T
+from lessonlake.sources.shared import materialize
 
 COLUMNS = ("title", "what", "learned", "tags")
 #: Column weights: plain search, and the ones of browsing, near-duplicates and neighbours.
@@ -20,15 +22,27 @@ FLAT, WEIGHTED = (1.0, 1.0, 1.0, 1.0), (3.0, 1.0, 2.0, 1.0)
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 CANDIDATES = 20
 
-# Letters that lose their marks, in step with what they become.
-_MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+def _folds() -> tuple[str, str]:
+    """Lower-case letters of the Latin blocks with marks, and the letters they become: the base of their decomposition."""
+    marked, plain = [], []
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        letter = chr(code)
+        base = unicodedata.normalize("NFD", letter)[0]
+        if letter == letter.lower() and base != letter and base.isascii() and base.isalpha():
+            marked.append(letter)
+            plain.append(base)
+    return "".join(marked), "".join(plain)
+
+
+_MARKED, _PLAIN = _folds()
+#: Combining marks do not end a token and are dropped from it.
+_MARKS = r"[\u0300-\u036f]+"
 
 
 def tokenize(text: Column, extra: str = "_-") -> Column:
     """T1 without stemming: lower-cased letters and digits, marks folded; ``extra`` stay inside tokens."""
     inside = "".join("\\" + c for c in extra)
-    folded = F.translate(F.lower(text), _MARKED, _PLAIN)
+    folded = F.translate(F.regexp_replace(F.lower(text), _MARKS, ""), _MARKED, _PLAIN)
     return F.filter(F.split(folded, rf"[^\p{{L}}\p{{N}}{inside}]+"), lambda t: t != "")
 
 
@@ -46,13 +60,16 @@ class Index:
 def build(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, extra: str = "_-", stem: object = None) -> Index:
     """The index of ``rows`` (id and text columns). ``stem`` maps a (term) DataFrame to (term, stem).
 
-    One pass tokenises all columns; only the distinct vocabulary is stemmed and joined back.
+    One pass tokenises all columns into a written table, which everything else reads; only the
+    distinct vocabulary is stemmed and joined back.
     """
     cells = rows.select("id", F.posexplode(F.array(*[tokenize(F.coalesce(F.col(c), F.lit("")), extra) for c in columns])).alias("col", "tokens"))
+    cells = materialize(cells, "index-cells")
     stats = cells.groupBy("id").agg(F.sum(F.size("tokens")).cast("long").alias("d"))
     postings = cells.select("id", "col", F.posexplode("tokens").alias("pos", "term"))
     if stem is not None:
-        postings = postings.join(stem(postings.select("term").distinct()), "term").select("id", "col", "pos", F.col("stem").alias("term"))
+        stems = materialize(stem(postings.select("term").distinct()), "index-stems")
+        postings = materialize(postings.join(stems, "term").select("id", "col", "pos", F.col("stem").alias("term")), "index-postings")
     totals = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avg_d"))
     return Index(postings, stats, totals, extra, stem)
 
@@ -77,13 +94,14 @@ def term_phrases(requests: DataFrame, terms: Column, extra: str = "_-") -> DataF
 def match(phrases: DataFrame, index: Index, weights: tuple[float, ...] = FLAT) -> DataFrame:
     """(piece, id, tf) of every phrase, tf weighted by column. Each distinct phrase is matched once for all requests.
 
-    Phrases of one token need no position test and stay out of the grouping by position.
+    The phrases' tokens are a written table, so Spark knows its size and sends it to the postings where
+    it is small. Phrases of one token need no position test and stay out of the grouping by position.
     """
     distinct = phrases.select("piece", "tokens").dropDuplicates(["piece"])
     spots = distinct.select("piece", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "term"))
     if index.stem is not None:
         spots = spots.join(index.stem(spots.select("term").distinct()), "term").select("piece", "n", "at", F.col("stem").alias("term"))
-    hits = index.postings.join(spots, "term")
+    hits = index.postings.join(materialize(spots, "phrase-tokens"), "term")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("col") + 1)
     single = hits.where("n = 1").groupBy("piece", "id").agg(F.sum(weight).alias("tf"))
     runs = hits.where("n > 1").groupBy("piece", "id", "col", (F.col("pos") - F.col("at")).alias("start"), "n").agg(F.countDistinct("at").alias("got"))
@@ -93,7 +111,7 @@ def match(phrases: DataFrame, index: Index, weights: tuple[float, ...] = FLAT) -
 
 def bm25(phrases: DataFrame, index: Index, weights: tuple[float, ...] = FLAT) -> DataFrame:
     """T4: (query_id, id, score); scores are negative, lower is better."""
-    hits = match(phrases, index, weights)
+    hits = materialize(match(phrases, index, weights), "phrase-hits")
     df = hits.groupBy("piece").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
@@ -117,14 +135,17 @@ def search(requests: DataFrame, memories: DataFrame, index: Index, limit: int =
     """
     limit = min(limit if limit > 0 else 5, 20)
     fetch = min(3 * limit, 60)
-    hits = bm25(query_phrases(requests, index), index).join(memories.select("id", "task_type", "kind", "title", "learned"), "id")
+    hits = bm25(query_phrases(requests, index), index).join(memories.select("id", "task_type", "kind"), "id")
     wanted = [c for c in ("task_type", "kind") if c in requests.columns]
-    asked = requests.select("query_id", "query", *[F.col(c).alias(f"want_{c}") for c in wanted])
+    asked = requests.select("query_id", *[F.col(c).alias(f"want_{c}") for c in wanted])
     hits = hits.join(asked, "query_id")
     for c in wanted:
         hits = hits.where(F.col(f"want_{c}").isNull() | (F.col(c) == F.col(f"want_{c}")))
-    hits = hits.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    hits = hits.withColumn("bm25_rank", _rank([F.round("score", 9), "id"])).where(F.col("bm25_rank") <= fetch)
+    hits = materialize(hits, "scored")
+    total = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    # the rank alone, so that each task keeps its best rows before the shuffle
+    hits = hits.withColumn("bm25_rank", _rank([F.round("score", 9), "id"])).where(F.col("bm25_rank") <= fetch).join(total, "query_id")
+    hits = hits.join(memories.select("id", "title", "learned"), "id").join(requests.select("query_id", "query"), "query_id")
     shared = T.overlap(T.tokens(F.col("query")), T.tokens(F.concat_ws(" ", "title", "learned")))
     hits = hits.withColumn("overlap", shared).withColumn("blend", T.composite(F.col("score"), F.col("overlap"), weight))
     hits = hits.withColumn("rank", _rank([F.round("blend", 9), "bm25_rank"])).where(F.col("rank") <= limit)
@@ -132,13 +153,21 @@ def search(requests: DataFrame, memories: DataFrame, index: Index, limit: int =
 
 
 def browse(requests: DataFrame, memories: DataFrame, index: Index, limit: int = 10) -> DataFrame:
-    """Per request (query_id, query, task_type, kind), the best ``limit`` by weighted BM25 inside one task type and kind."""
+    """Per request (query_id, query, task_type, kind), the best ``limit`` by weighted BM25 inside one task type and kind."""
     hits = bm25(query_phrases(requests, index), index, WEIGHTED).join(memories.select("id", "task_type", "kind"), "id")
     hits = hits.join(requests.select("query_id", "task_type", "kind"), ["query_id", "task_type", "kind"])
     hits = hits.withColumn("rank", _rank([F.round("score", 9), "id"])).where(F.col("rank") <= limit)
     return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def browse_kinds(requests: DataFrame, memories: DataFrame, index: Index, kinds: tuple[str, ...], limit: int = 10) -> DataFrame:
+    """Like ``browse`` for several kinds at once: phrases are scored once, and ranked inside each kind."""
+    hits = bm25(query_phrases(requests, index), index, WEIGHTED).join(memories.where(F.col("kind").isin(*kinds)).select("id", "task_type", "kind"), "id")
+    hits = hits.join(requests.select("query_id", "task_type"), ["query_id", "task_type"])
+    rank = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.round("score", 9), "id")).cast("long")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "kind", "rank", "id", F.round("score", 6).alias("score"))
+
+
 def body(prefix: str = "") -> Column:
     return F.concat_ws(" ", *[prefix + c for c in COLUMNS])
 
@@ -146,7 +175,8 @@ def body(prefix: str = "") -> Column:
 def candidates(seeds: DataFrame, memories: DataFrame, index: Index, *, same_group: bool, most: int = CANDIDATES) -> DataFrame:
     """(query_id, id, bm25_rank, jaccard): the best ``most`` rows for each seed's capped terms, the seed left out."""
     asked = seeds.select(F.col("id").alias("query_id"), T.capped(T.tokens(body())).alias("terms"))
-    hits = bm25(term_phrases(asked, F.col("terms"), index.extra), index, WEIGHTED).where("query_id <> id")
+    phrases = materialize(term_phrases(asked, F.col("terms"), index.extra), "seed-terms")
+    hits = bm25(phrases, index, WEIGHTED).where("query_id <> id")
     theirs = memories.select("id", "task_type", "kind", T.tokens(body()).alias("their_tokens"))
     mine = seeds.select(F.col("id").alias("query_id"), F.col("task_type").alias("my_type"), F.col("kind").alias("my_kind"), T.tokens(body()).alias("my_tokens"))
     if same_group:

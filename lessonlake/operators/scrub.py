@@ -6,6 +6,7 @@ a needle occurs reach Python; the rest pass through native columns.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -122,10 +123,12 @@ class Scrubber:
         """The redacted text and the count of each detector; longer spans win, then earlier declarations, then earlier starts."""
         data, kept = text.encode("utf-8", "surrogatepass"), []
         for m in sorted(self.matches(data), key=lambda m: (m[0] - m[1], m[2], m[0])):
-            if all(m[1] <= k[0] or k[1] <= m[0] for k in kept):
-                kept.append(m)
+            # what is kept is disjoint and in order, so only the two beside a match can touch it
+            at = bisect.bisect(kept, m)
+            if (at == 0 or kept[at - 1][1] <= m[0]) and (at == len(kept) or m[1] <= kept[at][0]):
+                kept.insert(at, m)
         out, at, counts = [], 0, Counter()
-        for start, end, i in sorted(kept):
+        for start, end, i in kept:
             d = self.detectors[i][0]
             out += [data[at:start], d.token.encode()]
             counts[d.name] += 1
@@ -148,17 +151,29 @@ def may_match(text: Column) -> Column:
 def _scrub(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     run = Scrubber()
     for texts in batches:
-        done = [run(t or "") for t in texts]
+        done = [(None, None) if t is None else run(t) for t in texts]
         yield pd.DataFrame({"text": [t for t, _ in done], "counts": [c for _, c in done]})
 
 
+def scrub_fields(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` with every column of ``columns`` redacted, ``counts`` by detector over all of them, ``fields_redacted`` in order, and ``redactions`` in all.
+
+    One pass: Python gets a text only where a needle occurs, and nulls elsewhere.
+    """
+    seen = rows.withColumns({f"_r_{c}": _scrub(F.when(may_match(F.col(c)), F.col(c))) for c in columns})
+    none = F.create_map().cast("map<string,int>")
+    reports = [F.coalesce(F.col(f"_r_{c}.counts"), none) for c in columns]
+    fields = F.array_compact(F.array(*[F.when(F.size(r) > 0, F.lit(c)) for c, r in zip(columns, reports, strict=True)]))
+    counts = reports[0]
+    for more in reports[1:]:
+        counts = fold_reports(counts, more)
+    out = seen.withColumns({"counts": counts, "fields_redacted": fields} | {c: F.coalesce(F.col(f"_r_{c}.text"), F.col(c)) for c in columns})
+    return out.drop(*[f"_r_{c}" for c in columns]).withColumn("redactions", F.aggregate(F.map_values("counts"), F.lit(0), lambda a, x: a + x))
+
+
 def scrub(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``column`` redacted, ``counts`` by detector and ``redactions`` in all. Candidates are split off before the UDF."""
-    hot = rows.where(may_match(F.col(column))).withColumn("_r", _scrub(F.col(column)))
-    done = hot.withColumns({column: F.col("_r.text"), "counts": F.col("_r.counts")}).drop("_r")
-    calm = rows.where(~may_match(F.col(column))).withColumn("counts", F.create_map().cast("map<string,int>"))
-    both = done.unionByName(calm)
-    return both.withColumn("redactions", F.aggregate(F.map_values("counts"), F.lit(0), lambda a, x: a + x))
+    """``rows`` with ``column`` redacted, ``counts`` by detector and ``redactions`` in all."""
+    return scrub_fields(rows, (column,)).drop("fields_redacted")
 
 
 def fold_reports(first: Column, second: Column) -> Column:
@@ -177,19 +192,23 @@ def by_pattern(scrubbed: DataFrame) -> DataFrame:
 
 
 def offenders(rows: DataFrame, column: str, key: str) -> DataFrame:
-    """(key, offender): the words of ``column`` that hold a secret."""
-    words = rows.where(may_match(F.col(column))).select(key, F.explode(F.filter(F.split(column, r"[\t\n\f\r ]+"), lambda w: w != "")).alias("offender"))
-    return scrub(words.withColumn("clean", F.col("offender")), "clean").where("redactions > 0").select(key, "offender")
+    """(key, offender): the words of ``column`` that hold a secret; the whole column where only its words together do."""
+    words = F.filter(F.split(column, r"[\t\n\f\r ]+"), lambda w: w != "")
+    parts = rows.where(may_match(F.col(column))).select(key, F.posexplode(F.concat(F.array(column), words)).alias("at", "offender"))
+    held = scrub(parts.withColumn("clean", F.col("offender")), "clean").where("redactions > 0").select(key, "at", "offender")
+    some = held.groupBy(key).agg(F.collect_list(F.struct("at", "offender")).alias("xs"))
+    told = F.when(F.size("xs") > 1, F.filter("xs", lambda x: x["at"] > 0)).otherwise(F.col("xs"))
+    return some.select(key, F.explode(told).alias("x")).select(key, "x.offender")
+
+
+def secret_field(columns: tuple[str, ...]) -> Column:
+    """I4: the first of the scrubbed identifier ``columns`` with a secret as ``<field>_contains_secret``; null if none. For rows of ``scrub_fields``."""
+    return F.coalesce(*[F.when(F.array_contains("fields_redacted", c), F.lit(f"{c}_contains_secret")) for c in columns])
 
 
 def rescrub(rows: DataFrame) -> DataFrame:
     """Every text field redacted anew and the fingerprint recomputed; ``counts`` adds the fields up."""
     from lessonlake.functions.text import fingerprint
 
-    out = rows
-    for field in ("title", "what", "learned"):
-        out = scrub(out, field).withColumnRenamed("counts", f"_{field}").drop("redactions")
-    counts = fold_reports(fold_reports(F.col("_title"), F.col("_what")), F.col("_learned"))
-    fields = F.array_compact(F.array(*[F.when(F.size(f"_{f}") > 0, F.lit(f)) for f in ("title", "what", "learned")]))
-    out = out.withColumns({"counts": counts, "fields_redacted": fields, "fingerprint": fingerprint(*[F.col(c) for c in ("task_type", "kind", "title", "learned")])})
-    return out.drop("_title", "_what", "_learned")
+    out = scrub_fields(rows, ("title", "what", "learned")).drop("redactions")
+    return out.withColumn("fingerprint", fingerprint(*[F.col(c) for c in ("task_type", "kind", "title", "learned")]))

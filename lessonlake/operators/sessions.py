@@ -89,3 +89,20 @@ def injected_once(candidates: DataFrame, cap: int = 3) -> DataFrame:
         return F.struct(F.concat(acc["had"], fresh).alias("had"), F.concat(acc["out"], rows).alias("out"))
 
     return lists.select("session", F.explode(F.aggregate("ps", start, step, lambda a: a["out"])).alias("x")).select("session", "x.seq", "x.id")
+
+
+FLOOR, PICKS = 0.3, 3
+
+
+def relevance_pull(found: DataFrame, floor: float = FLOOR, cap: int = PICKS) -> DataFrame:
+    """(session, seq, rank, id, overlap, passed, picked) of every candidate that a prompt looks at.
+
+    ``found`` has session, seq, rank, id and overlap. A prompt goes through its candidates by rank,
+    picks those at or over the floor that its session has not had, and stops after ``cap`` picks:
+    what comes later is not looked at and not logged.
+    """
+    taken = injected_once(found.where(F.col("overlap") >= floor).select("session", "seq", "rank", "id"), cap)
+    marked = found.join(taken.withColumn("picked", F.lit(True)), ["session", "seq", "id"], "left").withColumn("picked", F.coalesce("picked", F.lit(False)))
+    ends = marked.where("picked").groupBy("session", "seq").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
+    seen = marked.join(ends, ["session", "seq"], "left").where(F.col("n").isNull() | (F.col("n") < cap) | (F.col("rank") <= F.col("last")))
+    return seen.select("session", "seq", "rank", "id", "overlap", (F.col("overlap") >= floor).alias("passed"), "picked")

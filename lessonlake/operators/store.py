@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lessonlake.functions import text as T
+from lessonlake.sources.shared import materialize
 
 KINDS = ("error_resolution", "task_pattern", "user_rule", "session_summary")
 SCOPES, ORIGINS = ("personal", "shared"), ("manual", "auto")
@@ -47,11 +48,83 @@ def expand(memories: DataFrame, seen: DataFrame) -> DataFrame:
     return joined.withColumns({"expand_count": count, "last_expanded_at": F.coalesce("last", "last_expanded_at")}).drop("n", "last")
 
 
-def export_shared(memories: DataFrame) -> DataFrame:
-    """One JSON line for each shared row, six fields, in the order of fingerprints.
+def by_title(memories: DataFrame, titles: DataFrame) -> DataFrame:
+    """(id, found): the rows of each requested (id, title) exactly; blank titles find nothing."""
+    asked = titles.where("trim(title) <> ''").select("id", "title")
+    return asked.join(memories.select(F.col("id").alias("found"), "title"), "title").select("id", "found")
 
-    ``sortWithinPartitions`` after a range partition keeps the files in order without one task for all.
-    """
+
+def session_files(events: DataFrame) -> DataFrame:
+    """(session_id, file_path, created_at): the first edit of each file of a session."""
+    edits = events.where("tool = 'Edit' AND path <> ''")
+    return edits.groupBy(F.col("session").cast("string").alias("session_id"), F.col("path").alias("file_path")).agg(F.min("sec").alias("created_at"))
+
+
+def kind_counts(memories: DataFrame) -> DataFrame:
+    """A1: rows of each kind and in all."""
+    return memories.rollup("kind").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("kind", F.lit("total")).alias("kind"), "n")
+
+
+def census(memories: DataFrame) -> DataFrame:
+    """A2: (task_type, n, newest): rows of each task type and the title of its newest summary, empty without one."""
+    summary = F.col("kind") == "session_summary"
+    newest = F.max_by(F.when(summary, F.col("title")), F.when(summary, F.struct("created_at", "id")))
+    return memories.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.coalesce(newest, F.lit("")).alias("newest"))
+
+
+def shared_count(memories: DataFrame) -> DataFrame:
+    """A3."""
+    return memories.agg(F.count_if(F.col("scope") == "shared").alias("n"))
+
+
+def slug_near_misses(rows: DataFrame) -> DataFrame:
+    """A5: (task_type, n, other): the commonest other task type that is the same slug, the first by name among equals; null without one."""
+    counts = rows.groupBy("task_type").agg(F.count(F.lit(1)).alias("n")).withColumn("slug", T.slug(F.col("task_type")))
+    place = F.row_number().over(Window.partitionBy("slug").orderBy(F.col("n").desc(), "task_type"))
+    # whoever is not the first of its slug is pointed at the first, and the first at the second
+    top = counts.withColumn("r", place).where("r <= 2").groupBy("slug").agg(F.min(F.struct("r", "task_type"))["task_type"].alias("first"), F.max(F.when(F.col("r") == 2, F.col("task_type"))).alias("second"))
+    other = F.when(F.col("task_type") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    return counts.join(top, "slug").select("task_type", "n", other.alias("other"))
+
+
+def expand_signal(events: DataFrame) -> DataFrame:
+    """(id, n, last) of the tool events that name a row by its number."""
+    return events.where("event = 'PostToolUse'").groupBy(F.col("event_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.max("sec").alias("last"))
+
+
+def dashboard(memories: DataFrame, recent: int = 10) -> DataFrame:
+    """Rows of each kind and task type with the newest summary's title, and the newest automatic rows by title with their time."""
+    kinds = memories.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit("kind").alias("part"), F.col("kind").alias("name"), "n", F.lit("").alias("newest"))
+    types = census(memories).select(F.lit("task_type").alias("part"), F.col("task_type").alias("name"), "n", "newest")
+    last = recent_sessions(memories, recent).select(F.lit("recent").alias("part"), F.col("title").alias("name"), F.col("created_at").alias("n"), F.lit("").alias("newest"))
+    return kinds.unionByName(types).unionByName(last)
+
+
+def row_count(memories: DataFrame) -> DataFrame:
+    """Rows, task types and bytes of text."""
+    size = F.aggregate(F.array(*[F.octet_length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c in ("title", "what", "learned", "tags")]), F.lit(0).cast("long"), lambda a, x: a + x)
+    return memories.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("task_type").alias("task_types"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+def index_rows(memories: DataFrame, stats: DataFrame) -> DataFrame:
+    """(id, d): each indexed row with its number of tokens."""
+    return memories.select("id").join(stats.select("id", "d"), "id")
+
+
+def outside_newest(memories: DataFrame, most: int) -> DataFrame:
+    """The rows that are not among the newest ``most`` of their task type."""
+    rank = _number(Window.partitionBy("task_type").orderBy(*_newest()))
+    kept = memories.select("id", "task_type", "created_at").withColumn("r", rank).where(F.col("r") <= most)
+    return memories.join(kept.select("id"), "id", "left_anti")
+
+
+def among_newest(memories: DataFrame, most: int) -> DataFrame:
+    """The newest ``most`` rows of all, by a semi join with their ids."""
+    return memories.join(memories.orderBy(*_newest()).limit(most).select("id"), "id", "left_semi")
+
+
+def export_shared(memories: DataFrame) -> DataFrame:
+    """One JSON line for each shared row, six fields, in the order of fingerprints: range partitions, each sorted."""
     fields = F.to_json(F.struct("kind", "task_type", "title", "what", "learned", "tags"))
     return memories.where("scope = 'shared'").orderBy("fingerprint", "id").select("fingerprint", fields.alias("value"))
 
@@ -129,10 +202,10 @@ def context_bundle(requests: DataFrame, memories: DataFrame, index, mode: str =
     session = last_session(memories).join(key, "task_type").select("query_id", F.lit("session").alias("section"), F.lit(1).cast("long").alias("position"), "id", F.col("learned").alias("text"))
     rules = user_rules(memories, full).join(key, "task_type").select("query_id", F.concat(F.lit("rule_"), F.col("tier")).alias("section"), "position", "id", F.coalesce("learned", "title").alias("text"))
     parts = session.unionByName(rules)
-    for kind in KINDS[:2] if most else ():
-        found = R.browse(requests.withColumn("kind", F.lit(kind)), memories, index, most).join(memories.select("id", "what", "learned"), "id")
+    if most:
+        found = R.browse_kinds(requests, memories, index, KINDS[:2], most).join(memories.select("id", "what", "learned"), "id")
         text = F.concat_ws("\n", "what", "learned") if whole else T.snippet(F.col("what"))
-        parts = parts.unionByName(found.select("query_id", F.lit(kind).alias("section"), F.col("rank").alias("position"), "id", text.alias("text")))
+        parts = parts.unionByName(found.select("query_id", F.col("kind").alias("section"), F.col("rank").alias("position"), "id", text.alias("text")))
     return parts.select(*columns)
 
 
@@ -149,9 +222,13 @@ def validation_error(secret_in: Column | None = None) -> Column:
 
 
 def exact_duplicates(rows: DataFrame) -> DataFrame:
-    """Status saved or duplicate of every row in arrival order, with the first id of its fingerprint."""
+    """Status saved or duplicate of every row in arrival order, with the first id of its fingerprint.
+
+    The firsts are written before the join, which can so split a fingerprint that many rows share.
+    """
     first = F.min(F.struct("created_at", "id")).alias("first")
     firsts = rows.groupBy("fingerprint").agg(first).select("fingerprint", F.col("first.id").alias("matched_id"))
+    firsts = materialize(firsts, "first-fingerprints")
     joined = rows.join(firsts, "fingerprint")
     same = F.col("id") == F.col("matched_id")
     return joined.select("id", F.when(same, "saved").otherwise("duplicate").alias("status"), F.when(~same, F.col("matched_id")).alias("matched_id"))
@@ -218,19 +295,33 @@ def upsert(rows: DataFrame) -> DataFrame:
     return rows.groupBy("fingerprint").agg(*first, *last)
 
 
+#: What every saved text is redacted in, and what must hold no secret at all.
+TEXTS, IDENTIFIERS = ("title", "what", "learned"), ("session_id", "task_type", "tags")
+
+
 def ingest(requests: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(id, status, matched_id, error) of requests in order of arrival: invalid, duplicate, near_duplicate or saved.
+    """(id, status, matched_id, error, redactions, slug_hint) of requests in order of arrival: invalid, duplicate, near_duplicate or saved.
 
-    Nothing is written, so this is also the dry run (I10); the caller appends the saved rows.
+    Texts are redacted first; a secret in an identifier or tag makes a request invalid, as do the
+    checks of I2 on what redaction leaves. Duplicates are found by fingerprint, then by token sets in
+    greedy order; saved rows of a task type that is another's slug get that as a hint. Nothing is
+    written, so this is also the dry run (I10); the caller appends the saved rows, and removes what
+    they supersede (I9) and retention drops (W1, W2).
     """
-    from lessonlake.operators import dedupe
-
-    checked = requests.withColumns({"error": validation_error(), "fingerprint": T.fingerprint(*[F.col(c) for c in ("task_type", "kind", "title", "learned")])})
-    bad = checked.where("error IS NOT NULL").select("id", F.lit("invalid").alias("status"), F.lit(None).cast("string").alias("matched_id"), "error")
+    from lessonlake.operators import dedupe, scrub
+
+    secret = scrub.scrub_fields(requests, IDENTIFIERS).select("id", scrub.secret_field(IDENTIFIERS).alias("secret"))
+    clean = scrub.scrub_fields(requests, TEXTS).join(secret, "id")
+    error = F.coalesce(F.col("secret"), validation_error())
+    checked = materialize(clean.withColumns({"error": error, "fingerprint": T.fingerprint(*[F.col(c) for c in ("task_type", "kind", "title", "learned")])}), "checked-requests")
+    none = F.lit(None).cast("string")
+    bad = checked.where("error IS NOT NULL").select("id", F.lit("invalid").alias("status"), none.alias("matched_id"), "error", "redactions", none.alias("slug_hint"))
     fine = checked.where("error IS NULL")
     exact = exact_duplicates(fine)
     fresh = fine.join(exact.where("status = 'saved'").select("id"), "id", "left_semi")
     near = dedupe.near_duplicates(fresh, threshold).select("id", F.col("matched_id").alias("near_id"))
-    told = exact.join(near, "id", "left")
+    told = exact.join(near, "id", "left").join(fine.select("id", "task_type", "redactions"), "id")
     status = F.when(F.col("near_id").isNotNull(), "near_duplicate").otherwise(F.col("status"))
-    return bad.unionByName(told.select("id", status.alias("status"), F.coalesce("near_id", "matched_id").alias("matched_id"), F.lit(None).cast("string").alias("error")))
+    told = told.withColumn("status", status).join(slug_near_misses(fine).select("task_type", "other"), "task_type", "left")
+    hint = F.when(F.col("status") == "saved", F.col("other")).alias("slug_hint")
+    return bad.unionByName(told.select("id", "status", F.coalesce("near_id", "matched_id").alias("matched_id"), none.alias("error"), "redactions", hint))

@@ -6,18 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from lessonlake.functions import text as T
+from lessonlake.operators import graph as G
 from lessonlake.operators import retrieval as R
 from lessonlake.operators import store as S
 from lessonlake.plans.registry import register
-from lessonlake.plans.retrieval_queries import _MEM_INDEX, _REQ, _bm25_sql, _jac, _phrase_sql, _tokens_sql
+from lessonlake.plans.retrieval_queries import _MEM_INDEX, _REQ, _bm25_sql, _jac, _phrase_sql, _search_tail, _tokens_sql
 from lessonlake.plans.views import NOW, cte, run, table, view
 
 
-def same(name: str, sql: str) -> None:
-    """A query whose text both engines take."""
-    register(name, lambda spark, sf_dir: run(spark, sf_dir, sql), cte(sql))
-
-
 def on(name: str, view_name: str, build, oracle: str) -> None:
     """A DataFrame query over one view."""
     register(name, lambda spark, sf_dir: build(view(spark, sf_dir, view_name)), cte(oracle))
@@ -64,7 +60,7 @@ _BODY = "concat_ws(' ', {0}.title, {0}.what, {0}.learned, {0}.tags)"
 _AB = f"WITH t AS (SELECT a.id, {_tokens_sql(_BODY.format('a'))} AS x, {_tokens_sql(_BODY.format('b'))} AS y {_PAIR}) "
 register("f7_f8_jaccard_overlap", f7_jaccard, cte(_AB + f"SELECT id, round({_jac('x', 'y')}, 6) AS jaccard, round(CASE WHEN len(x) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / len(x) END, 6) AS overlap FROM t"))
 on("f9_phrases", "search_requests", lambda r: r.select("query_id", F.posexplode(T.phrases(F.col("query"))).alias("position", "phrase")),
-   "SELECT query_id, (unnest(range(len(string_split(query, ' ')))))::INTEGER AS position, unnest(string_split(query, ' ')) AS phrase FROM search_requests WHERE query <> ''")
+   rf"SELECT query_id, (unnest(range(len(ps))))::INTEGER AS position, unnest(ps) AS phrase FROM (SELECT query_id, list_filter(regexp_split_to_array(query, {_BLANK}), lambda x: x <> '') AS ps FROM search_requests) t")
 on("f10_symbol_terms", "symbols", lambda s: s.select("id", _joined(T.symbol_terms(F.col("qname"))).alias("terms")),
    r"SELECT id, array_to_string(list_filter(regexp_split_to_array(qname, '[^\p{L}\p{Nd}_]+'), lambda x: strlen(x) >= 2), ' ') AS terms FROM symbols")
 on("f12_snippet", "memories", lambda m: m.select("id", T.snippet(F.col("what")).alias("snippet")), rf"""
@@ -92,9 +88,8 @@ on("f23_safe_session", "memories", lambda m: m.select("id", T.safe_session(F.whe
    "SELECT id, CASE WHEN regexp_full_match(trim(s), '[A-Za-z0-9_-]{1,128}') THEN trim(s) END AS session FROM (SELECT id, CASE WHEN doc_id % 2 = 0 THEN session_id ELSE title END AS s FROM memories) t")
 on("f24_f26_symbol_names", "symbols", lambda s: s.select("id", T.short_package(F.concat(F.lit("mod/"), F.col("package")), "mod").alias("package"), T.last_name(F.col("qname")).alias("last"), T.is_exported(F.col("package")).alias("exported")),
    "SELECT id, package, id::STRING AS last, TRUE AS exported FROM symbols")
-on("f25_lines", "memories", lambda m: m.select("id", T.first_line(F.col("what")).alias("line"), F.trim(F.regexp_replace("what", T.BLANK, " ")).alias("flat"), F.octet_length(T.truncated(F.col("learned"), 300)).cast("long").alias("kept")),
-   rf"SELECT id, trim(list_extract(string_split(ltrim(what), chr(10)), 1)) AS line, trim(regexp_replace(what, {_BLANK}, ' ', 'g')) AS flat, (CASE WHEN strlen(learned) > 300 THEN strlen(learned) + 14 ELSE strlen(learned) END)::BIGINT AS kept FROM memories")
-same("f27_age_cutoff", f"SELECT id FROM memories WHERE created_at < {NOW} - 300 * 86400")
+on("f25_lines", "memories", lambda m: m.select("id", T.first_line(F.col("what")).alias("line"), F.trim(F.regexp_replace("what", T.BLANK, " ")).alias("flat"), T.truncated(F.col("learned"), 300).alias("kept")),
+   rf"SELECT id, trim(list_extract(string_split(ltrim(what), chr(10)), 1)) AS line, trim(regexp_replace(what, {_BLANK}, ' ', 'g')) AS flat, CASE WHEN strlen(learned) > 300 THEN concat(substr(learned, 1, list_max(list_filter(range(75, 301), lambda i: strlen(substr(learned, 1, i)) <= 300))), '…[truncated]') ELSE learned END AS kept FROM memories")
 on("f28_limit_clamp", "symbols", lambda s: s.select("id", T.clamp(F.col("line") - 10, 5, 20).cast("long").alias("clamped")), "SELECT id, least(CASE WHEN line - 10 <= 0 THEN 5 ELSE line - 10 END, 20)::BIGINT AS clamped FROM symbols")
 on("f29_type_label", "hook_events", lambda h: h.select("event_id", T.type_label(F.coalesce("tool", F.lit(" "))).alias("label")), "SELECT event_id, coalesce(nullif(trim(tool), ''), 'untyped') AS label FROM hook_events")
 on("f30_growth_warnings", "memories", lambda m: m.groupBy("task_type").agg(F.count(F.lit(1)).alias("n")).select("task_type", _joined(T.growth_warnings(F.col("n") * 1000000, F.col("n") * 200)).alias("warnings")),
@@ -105,7 +100,6 @@ on("s1_list", "memories", lambda m: S.list_memories(m, kind="task_pattern", scop
 on("s2_recent_sessions", "memories", lambda m: S.recent_sessions(m, 100).select("id", "title", "created_at"), "SELECT id, title, created_at FROM memories WHERE origin = 'auto' ORDER BY created_at DESC, id DESC LIMIT 100")
 on("s3_lookup", "memories", lambda m: S.lookup(m, m.where("doc_id % 7 = 0").select("id")).select("id", "title", "last_expanded_at", "review_after"), "SELECT id, title, last_expanded_at, review_after FROM memories WHERE doc_id % 7 = 0")
 on("s4_counting_lookup", "memories", lambda m: S.expand(m, m.where("doc_id % 7 = 0").select("id", F.lit(NOW).alias("at"))).where("doc_id % 7 = 0").select("id", "expand_count", "last_expanded_at"), f"SELECT id, expand_count + 1 AS expand_count, {NOW}::BIGINT AS last_expanded_at FROM memories WHERE doc_id % 7 = 0")
-same("s5_title_lookup", "SELECT a.id, b.id AS found FROM memories a JOIN memories b ON a.title = b.title WHERE a.doc_id % 5 = 0")
 on("s6_export_shared", "memories", lambda m: S.export_shared(m), "SELECT fingerprint, to_json({'kind': kind, 'task_type': task_type, 'title': title, 'what': what, 'learned': learned, 'tags': tags})::STRING AS value FROM memories WHERE scope = 'shared'")
 
 
@@ -117,39 +111,41 @@ def s7_import_shared(spark, sf_dir):
     return verdicts(broken, view(spark, sf_dir, "memories").where("doc_id % 6 = 0")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-register("s7_import_shared", s7_import_shared, cte("""WITH lines AS (SELECT *, length(to_json({'kind': kind, 'task_type': task_type, 'title': title, 'what': what, 'learned': learned, 'tags': tags})::STRING) % 10 AS r FROM memories WHERE scope = 'shared'),
+register("s7_import_shared", s7_import_shared, cte("""WITH told AS (SELECT *, length(to_json({'kind': kind, 'task_type': task_type, 'title': title, 'what': what, 'learned': learned, 'tags': tags})::STRING) % 10 AS r FROM memories WHERE scope = 'shared'),
+lines AS (SELECT * REPLACE (CASE WHEN r <> 1 AND (strlen(title) > 200 OR strlen(what) > 8192 OR strlen(learned) > 4096 OR trim(title) = '' OR trim(what) = '') THEN 0 ELSE r END AS r) FROM told),
 seen AS (SELECT fingerprint FROM memories WHERE doc_id % 6 = 0),
 v AS (SELECT r, CASE WHEN r = 0 THEN 'failed' WHEN fingerprint IN (SELECT fingerprint FROM seen) THEN 'skipped'
   WHEN row_number() OVER (PARTITION BY fingerprint, r = 0 ORDER BY id) > 1 THEN 'skipped' ELSE 'imported' END AS verdict FROM lines WHERE r <> 1)
 SELECT verdict, count(*) AS n FROM v GROUP BY verdict"""))
-same("s8_session_files", "SELECT CAST(session AS STRING) AS session_id, path AS file_path, min(sec) AS created_at FROM hook_events WHERE tool = 'Edit' GROUP BY session, path")
 on("s9_record_files", "hook_events", lambda h: S.record_files(h.where("event_id % 2 = 0").select(F.col("session").cast("string").alias("session_id"), F.col("path").alias("file_path")).distinct(), h.where("event_id % 2 = 1").select(F.concat(F.lit(" "), F.col("session").cast("string")).alias("session_id"), F.col("path").alias("file_path"), F.col("sec").alias("created_at"))),
    "SELECT session::STRING AS session_id, path AS file_path, min(sec) AS created_at FROM hook_events h WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM hook_events o WHERE o.event_id % 2 = 0 AND o.session = h.session AND o.path = h.path) AND path <> '' GROUP BY session, path")
-same("s14_hook_events", "SELECT event, tool, count(*) AS n FROM hook_events GROUP BY event, tool")
 on("s15_tabular", "symbols", lambda s: S.tabular(s, "package", "symbols", ["id", "name", "signature"], ["id"]),
    "SELECT package, concat('symbols[', count(*), ']{id,name,signature}:', chr(10), string_agg(concat_ws(',', id::STRING, name, signature), chr(10) ORDER BY id)) AS text FROM symbols GROUP BY package")
 
 # ---- joins -----------------------------------------------------------------------------------
-same("j1_index_row", "SELECT m.id, count(*) AS n FROM memories m JOIN events e ON e.event_id = m.doc_id GROUP BY m.id")
-same("j2_edge_symbol", "SELECT s.qname, count(*) AS callers FROM edges e JOIN symbols s ON s.id = e.callee GROUP BY s.qname")
-same("j3_implements_symbol", "SELECT i.iface, t.qname FROM implements i JOIN symbols t ON t.id = i.impl WHERE i.iface % 10 = 0")
-same("j6_anti_keep_set", "SELECT m.id FROM memories m LEFT ANTI JOIN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY task_type ORDER BY created_at DESC, id DESC) AS r FROM memories) t WHERE r <= 10) k ON k.id = m.id".replace("LEFT ANTI", "ANTI"))
-same("j7_semi_newest", "SELECT m.id, m.title FROM memories m SEMI JOIN (SELECT id FROM memories ORDER BY created_at DESC, id DESC LIMIT 40) k ON k.id = m.id")
-same("j10_prefix_probe", "SELECT t.id FROM symbols t WHERE t.kind = 'type' AND EXISTS (SELECT 1 FROM symbols m WHERE m.kind = 'method' AND m.package = t.package AND substr(m.name, 1, 3) = substr(t.name, 1, 3))")
-same("j11_frontier", "SELECT e.caller, e.callee FROM edges e WHERE e.callee IN (SELECT id FROM symbols WHERE kind = 'func')")
 
 # ---- aggregation -----------------------------------------------------------------------------
-same("a1_kind_counts", "SELECT coalesce(kind, 'total') AS kind, count(*) AS n FROM memories GROUP BY ROLLUP (kind)")
-on("a2_task_census", "memories", lambda m: m.groupBy("task_type").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max_by(F.when(F.col("kind") == "session_summary", F.col("title")), F.when(F.col("kind") == "session_summary", F.struct("created_at", "id"))), F.lit("")).alias("newest")),
+on("a1_kind_counts", "memories", S.kind_counts, "SELECT kind, count(*) AS n FROM memories GROUP BY kind UNION ALL SELECT 'total', count(*) FROM memories")
+on("a2_task_census", "memories", S.census,
    "SELECT task_type, count(*) AS n, coalesce(max_by(title, created_at) FILTER (kind = 'session_summary'), '') AS newest FROM memories GROUP BY task_type")
-same("a3_shared_count", "SELECT count(*) AS n FROM memories WHERE scope = 'shared'")
-same("a5_slug_near_miss", "SELECT a.slug, max(a.n) AS most FROM (SELECT replace(lower(name), '_', '-') AS slug, name, count(*) AS n FROM symbols GROUP BY name) a GROUP BY a.slug")
-same("a6_expand_signal", "SELECT m.id, count(*) AS n, max(h.sec) AS last FROM memories m JOIN hook_events h ON h.event_id = m.doc_id WHERE h.event = 'PostToolUse' GROUP BY m.id")
-same("a7_fan_in_out", "SELECT s.id, (SELECT count(DISTINCT caller) FROM edges i WHERE i.callee = s.id) AS callers, (SELECT count(DISTINCT callee) FROM edges o WHERE o.caller = s.id) AS callees FROM symbols s WHERE s.id % 20 = 0")
-same("a8_implementer_total", "SELECT iface, count(*) AS total FROM implements GROUP BY iface")
-same("a9_dashboard", "SELECT 'kind' AS part, kind AS name, count(*) AS n FROM memories GROUP BY kind UNION ALL SELECT 'task_type', task_type, count(*) FROM memories GROUP BY task_type UNION ALL SELECT 'recent', title, created_at FROM (SELECT title, created_at, id FROM memories WHERE origin = 'auto' ORDER BY created_at DESC, id DESC LIMIT 10) r")
-same("a10_index_size", "SELECT 'symbols' AS name, count(*) AS n FROM symbols UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'implements', count(*) FROM implements")
-same("a13_row_count", "SELECT count(*) AS rows, count(DISTINCT task_type) AS task_types FROM memories")
+on("a3_shared_count", "memories", S.shared_count, "SELECT count(*) AS n FROM memories WHERE scope = 'shared'")
+on("a5_slug_near_miss", "spelled", S.slug_near_misses, """
+WITH c AS (SELECT task_type, count(*) AS n, replace(lower(task_type), '_', '-') AS slug FROM spelled GROUP BY task_type)
+SELECT task_type, n, (SELECT o.task_type FROM c o WHERE o.slug = c.slug AND o.task_type <> c.task_type ORDER BY o.n DESC, o.task_type LIMIT 1) AS other FROM c""")
+register("a6_expand_signal", lambda spark, sf_dir: view(spark, sf_dir, "memories").select("id", "doc_id").join(S.expand_signal(view(spark, sf_dir, "hook_events")), "doc_id").drop("doc_id"),
+         cte("SELECT m.id, count(*) AS n, max(h.sec) AS last FROM memories m JOIN hook_events h ON h.event_id = m.doc_id WHERE h.event = 'PostToolUse' GROUP BY m.id"))
+on("a9_dashboard", "memories", S.dashboard, """SELECT 'kind' AS part, kind AS name, count(*) AS n, '' AS newest FROM memories GROUP BY kind
+UNION ALL SELECT 'task_type', task_type, count(*), coalesce(max_by(title, created_at) FILTER (kind = 'session_summary'), '') FROM memories GROUP BY task_type
+UNION ALL SELECT 'recent', title, created_at, '' FROM (SELECT * FROM memories WHERE origin = 'auto' ORDER BY created_at DESC, id DESC LIMIT 10) r""")
+on("a13_row_count", "memories", S.row_count, "SELECT count(*) AS rows, count(DISTINCT task_type) AS task_types, sum(strlen(title) + strlen(what) + strlen(learned) + strlen(tags))::BIGINT AS bytes FROM memories")
+on("j6_anti_keep_set", "memories", lambda m: S.outside_newest(m, 10).select("id"), "SELECT id FROM memories QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY created_at DESC, id DESC) > 10")
+on("j7_semi_newest", "memories", lambda m: S.among_newest(m, 40).select("id", "title"), "SELECT id, title FROM memories ORDER BY created_at DESC, id DESC LIMIT 40")
+on("j10_prefix_probe", "symbols", lambda s: G.with_methods(s.where("kind = 'type'").select("id", F.concat_ws(".", "package", F.substring("name", 1, 3)).alias("qname")), s.where("kind = 'method'").select(F.concat_ws(".", "package", F.substring("name", 1, 3), "name").alias("qname"))).select("id"),
+   "SELECT t.id FROM symbols t WHERE t.kind = 'type' AND EXISTS (SELECT 1 FROM symbols m WHERE m.kind = 'method' AND m.package = t.package AND substr(m.name, 1, 3) = substr(t.name, 1, 3))")
+on("j1_index_row", "memories", lambda m: S.index_rows(m, R.build(m).stats), f"WITH {_MEM_INDEX} SELECT id, d FROM stats")
+on("f27_age_cutoff", "memories", lambda m: m.where(T.older(F.col("created_at"), NOW, 300)).select("id"), f"SELECT id FROM memories WHERE created_at < {NOW} - 300 * 86400")
+on("s5_title_lookup", "memories", lambda m: S.by_title(m, m.select("id", "title")), "SELECT a.id, b.id AS found FROM memories a JOIN memories b ON a.title = b.title WHERE trim(a.title) <> ''")
+on("s8_session_files", "hook_events", S.session_files, "SELECT session::STRING AS session_id, path AS file_path, min(sec) AS created_at FROM hook_events WHERE tool = 'Edit' GROUP BY session, path")
 
 
 def a12_retrieval_metrics(spark, sf_dir):
@@ -162,7 +158,11 @@ def a12_retrieval_metrics(spark, sf_dir):
     return ranks.rollup("class").agg(F.count(F.lit(1)).alias("n"), share(1).alias("recall_1"), share(5).alias("recall_5"), share(10).alias("recall_10"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr")).withColumn("class", F.coalesce("class", F.lit("overall")))
 
 
-register("a12_retrieval_metrics", a12_retrieval_metrics)
+register("a12_retrieval_metrics", a12_retrieval_metrics, cte(f"""WITH {_MEM_INDEX}, req AS (SELECT doc_id AS query_id, array_to_string(list_filter(string_split(title, ' '), lambda x: x <> '')[2:5], ' ') AS query FROM memories), {_phrase_sql('req', 'query')}, {_bm25_sql(R.FLAT)},
+found AS ({_search_tail(20, 60).format(where='').replace("ranked AS (", "WITH ranked AS (", 1)}),
+ranks AS (SELECT m.kind AS class, f.rank FROM memories m LEFT JOIN found f ON f.query_id = m.doc_id AND f.id = m.id),
+every AS (SELECT * FROM ranks UNION ALL SELECT 'overall', rank FROM ranks)
+SELECT class, count(*) AS n, round(avg((coalesce(rank, 99) <= 1)::INT), 6) AS recall_1, round(avg((coalesce(rank, 99) <= 5)::INT), 6) AS recall_5, round(avg((coalesce(rank, 99) <= 10)::INT), 6) AS recall_10, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM every GROUP BY class"""))
 
 # ---- ranking, retention, context -------------------------------------------------------------
 on("w1_manual_retention", "memories", lambda m: S.keep_manual(m).select("id", "task_type"), "SELECT id, task_type FROM memories WHERE kind = 'session_summary' AND origin = 'manual' QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY created_at DESC, id DESC) <= 5")
@@ -199,13 +199,11 @@ found AS (SELECT k.query_id, m.kind, m.id, m.what, m.learned, row_number() OVER
 
 for _mode in S.MODES:
     register(f"w6_context_{_mode}", _bundle(_mode), _bundle_sql(_mode))
-same("w8_neighbour_cap", "SELECT start, id, r FROM (SELECT e.callee AS start, s.id, CAST(row_number() OVER (PARTITION BY e.callee ORDER BY CASE WHEN s.package = t.package THEN 0 ELSE 1 END, s.qname) AS BIGINT) AS r FROM edges e JOIN symbols s ON s.id = e.caller JOIN symbols t ON t.id = e.callee) x WHERE r <= 2")
-same("w9_package_surface", "SELECT package, id, line, r, hidden FROM (SELECT package, id, line, exported, CAST(row_number() OVER (PARTITION BY package, exported ORDER BY line, id) AS BIGINT) AS r, CAST(sum(CASE WHEN exported THEN 0 ELSE 1 END) OVER (PARTITION BY package) AS BIGINT) AS hidden FROM symbols) x WHERE exported AND r <= 200")
 
 # ---- ingest ----------------------------------------------------------------------------------
 _I2 = "substr(what, 1, 190)"
 on("i2_validation", "save_requests", lambda m: m.withColumn("title", F.substring("what", 1, 190)).select("id", S.validation_error().alias("error")),
-   rf"SELECT id, CASE WHEN regexp_full_match({_I2}, '[ \t\n\r\f\v]*') THEN 'title:required' WHEN regexp_full_match(learned, '[ \t\n\r\f\v]*') THEN 'learned:required' WHEN strlen({_I2}) > 200 THEN 'title:too_long' END AS error FROM save_requests")
+   rf"SELECT id, CASE WHEN regexp_full_match({_I2}, '[ \t\n\r\f\v]*') THEN 'title:required' WHEN regexp_full_match(learned, '[ \t\n\r\f\v]*') THEN 'learned:required' WHEN strlen({_I2}) > 200 THEN 'title:too_long' WHEN strlen(what) > 8192 THEN 'what:too_long' WHEN strlen(learned) > 4096 THEN 'learned:too_long' END AS error FROM save_requests")
 on("i5_exact_dedupe", "memories", lambda m: S.exact_duplicates(m.withColumn("fingerprint", T.fingerprint(F.col("learned")))),
    f"WITH f AS (SELECT id, created_at, array_to_string(list_sort({_w('learned', '')}), ' ') AS fp FROM memories), k AS (SELECT *, first_value(id) OVER (PARTITION BY fp ORDER BY created_at, id) AS first FROM f) SELECT id, CASE WHEN id = first THEN 'saved' ELSE 'duplicate' END AS status, CASE WHEN id <> first THEN first END AS matched_id FROM k")
 on("i7_force", "memories", lambda m: S.merge_forced(m, m.where("doc_id % 11 = 0").select("fingerprint", F.lower("title").alias("title"), "what", F.reverse("learned").alias("learned"), "tags", F.lit("shared").alias("scope"), F.lit(NOW).cast("long").alias("updated_at"))).select("id", "title", "learned", "scope", "created_at", "updated_at"),

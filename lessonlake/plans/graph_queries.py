@@ -20,14 +20,14 @@ def on(name, views, build, oracle=None, recursive=False):
 
 
 def _ask(s):
-    full = s.where("id % 60 = 0").select(F.col("id").alias("query_id"), F.col("qname").alias("name"))
-    short = s.where("id % 60 = 1").select(F.col("id").alias("query_id"), "name")
-    tail = s.where("id % 60 = 2").select(F.col("id").alias("query_id"), F.substring_index("qname", ".", -1).alias("name"))
+    full = s.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("qname").alias("name"))
+    short = s.where("id % 20 = 1").select(F.col("id").alias("query_id"), "name")
+    tail = s.where("id % 20 = 2").select(F.col("id").alias("query_id"), F.substring_index("qname", ".", -1).alias("name"))
     return full.unionByName(short).unionByName(tail)
 
 
 on("g1_resolve", ("symbols",), lambda s: G.resolve(_ask(s), s), """
-WITH ask AS (SELECT id AS query_id, CASE id % 60 WHEN 0 THEN qname WHEN 1 THEN name ELSE id::STRING END AS nm FROM symbols WHERE id % 60 <= 2),
+WITH ask AS (SELECT id AS query_id, CASE id % 20 WHEN 0 THEN qname WHEN 1 THEN name ELSE id::STRING END AS nm FROM symbols WHERE id % 20 <= 2),
 hits AS (SELECT query_id, id, qname, CASE WHEN qname = nm THEN 1 WHEN name = nm THEN 2 ELSE 3 END AS tier FROM ask JOIN symbols ON qname = nm OR name = nm OR ends_with(qname, concat('.', nm))),
 best AS (SELECT * FROM hits QUALIFY tier = min(tier) OVER (PARTITION BY query_id))
 SELECT query_id, id, tier::BIGINT AS tier, count(*) OVER (PARTITION BY query_id) > 1 AS ambiguous FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY qname) <= 20""")
@@ -49,21 +49,21 @@ WITH RECURSIVE up(start, id) AS (
   UNION SELECT u.start, e.caller FROM up u JOIN {edges} e ON e.callee = u.id)
 SELECT s.id, least(count(u.id), 500)::BIGINT AS callers FROM symbols s LEFT JOIN up u ON u.start = s.id WHERE s.id % {mod} = 0 GROUP BY s.id"""
 on("g4_transitive_callers", ("symbols", "edges"), lambda s, e: G.transitive_callers(s.where("id % 20 = 0"), e), _CLOSE.format(edges="edges", mod=20))
-on("g4_closure_cap", ("symbols", "edges_dense"), lambda s, e: G.transitive_callers(s.where("id % 200 = 0"), e), _CLOSE.format(edges="edges_dense", mod=200))
 
 
-def _pairs(s, e):
-    return e.where("caller % 3 = 0").select(F.col("caller").alias("start"), F.col("callee").alias("mid")).join(e.select(F.col("caller").alias("mid"), F.col("callee").alias("target")), "mid").select("start", "target").distinct()
+def _pairs(s):
+    return s.where("id % 20 = 0").select(F.col("id").alias("start"), (F.col("id") + 20).alias("target"))
 
 
-on("g5_shortest_path", ("symbols", "edges_dense"), lambda s, e: G.shortest_path(_pairs(s, e), e).select("start", "target", "length"), """
-WITH RECURSIVE pairs AS (SELECT DISTINCT a.caller AS start, b.callee AS target FROM edges_dense a JOIN edges_dense b ON b.caller = a.callee WHERE a.caller % 3 = 0),
-walk(start, id, depth) AS (
-  SELECT DISTINCT start, start, 1::BIGINT FROM pairs
-  UNION SELECT w.start, e.callee, w.depth + 1 FROM walk w JOIN edges_dense e ON e.caller = w.id WHERE w.depth <= 10)
-SELECT p.start, p.target, min(w.depth) AS length FROM pairs p JOIN walk w ON w.start = p.start AND w.id = p.target GROUP BY p.start, p.target""")
+on("g5_shortest_path", ("symbols", "edges"), lambda s, e: G.shortest_path(_pairs(s), e).select("start", "target", "length"), """
+WITH RECURSIVE walk(start, id, depth) AS (
+  SELECT id, id, 1::BIGINT FROM symbols WHERE id % 20 = 0
+  UNION SELECT w.start, e.callee, w.depth + 1 FROM walk w JOIN edges e ON e.caller = w.id WHERE w.depth <= 10)
+SELECT start, id AS target, min(depth) AS length FROM walk WHERE id = start + 20 GROUP BY start, id""")
 on("g6_implementers", ("implements", "symbols"), G.implementers, """
 SELECT iface, row_number() OVER (PARTITION BY iface ORDER BY qname) AS position, impl, count(*) OVER (PARTITION BY iface) AS total FROM implements JOIN symbols ON id = impl QUALIFY position <= 50""")
+on("g6_satisfies", ("implements", "symbols"), G.satisfies, """
+SELECT impl, row_number() OVER (PARTITION BY impl ORDER BY qname) AS position, iface, count(*) OVER (PARTITION BY impl) AS total FROM implements JOIN symbols ON id = iface QUALIFY position <= 50""")
 on("g9_hints", ("symbols", "edges", "implements"), lambda s, e, i: G.hints(s.where("id % 10 = 0"), e, i), """
 WITH RECURSIVE up(start, id) AS (
   SELECT s.id, e.caller FROM symbols s JOIN edges e ON e.callee = s.id WHERE s.id % 10 = 0
@@ -76,11 +76,39 @@ SELECT i.id AS iface, t.id AS impl FROM symbols i JOIN symbols t ON i.kind = 'in
 on("g10_dispatch", ("symbols", "implements"), lambda s, i: G.dispatch(s.where("kind = 'func'").select(F.col("id").alias("caller"), F.col("signature")).join(s.where("kind = 'interface'").select(F.col("id").alias("iface"), "signature", F.lit("Run").alias("method")), "signature").select("caller", "iface", "method"), i, s.where("kind = 'type'").select("id", F.col("id").alias("impl"), F.lit("Run").alias("method"))), """
 SELECT DISTINCT f.id AS caller, x.impl AS callee FROM symbols f JOIN symbols i ON f.kind = 'func' AND i.kind = 'interface' AND f.signature = i.signature JOIN implements x ON x.iface = i.id""")
 
-_PAIRS = f"""
-WITH t AS (SELECT id, task_type, created_at, {_tokens_sql("concat_ws(' ', title, what, learned, tags)")} AS toks FROM memories_dd),
-p AS (SELECT a.id AS earlier, b.id AS later, {_jac('a.toks', 'b.toks')} AS jaccard FROM t a JOIN t b ON a.task_type = b.task_type AND (a.created_at, a.id) < (b.created_at, b.id) AND least(len(a.toks), len(b.toks)) >= {{t}} * greatest(len(a.toks), len(b.toks)))
-SELECT earlier, later, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= {{t}}"""
+_SETS = f"""t AS (SELECT id, task_type, created_at, toks, row_number() OVER (ORDER BY created_at, id) AS n, array_to_string(list_sort(toks), ' ') AS flat FROM (SELECT *, {_tokens_sql("concat_ws(' ', title, what, learned, tags)")} AS toks FROM memories_dd) x WHERE len(toks) > 0)"""
+_CLOSE_PAIRS = f"""SELECT a.id AS earlier, b.id AS later, a.n AS na, b.n AS nb, {_jac('a.toks', 'b.toks')} AS jaccard FROM {{r}} a JOIN {{r}} b ON a.task_type = b.task_type AND a.n < b.n AND least(len(a.toks), len(b.toks)) >= {{t}} * greatest(len(a.toks), len(b.toks))"""
+_REP_PAIRS = f"""WITH {_SETS},
+c AS (SELECT *, first_value(id) OVER (PARTITION BY task_type, flat ORDER BY n) AS rep FROM t),
+r AS (SELECT * FROM c WHERE id = rep),
+p AS ({_CLOSE_PAIRS.replace('{r}', 'r')})
+SELECT earlier, later, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= {{t}} UNION ALL SELECT rep, id, 1.0 FROM c WHERE id <> rep"""
+# one row after another, with the list of those accepted so far
+_GREEDY = f"""WITH RECURSIVE {_SETS},
+p AS (SELECT * FROM ({_CLOSE_PAIRS.replace('{r}', 't')}) x WHERE jaccard >= {{t}}),
+m AS (SELECT t.n, coalesce(ms, []) AS ms FROM t LEFT JOIN (SELECT nb, list(na) AS ms FROM p GROUP BY nb) x ON x.nb = t.n),
+g(n, accepted) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL SELECT m.n, CASE WHEN len(list_intersect(m.ms, g.accepted)) > 0 THEN g.accepted ELSE list_append(g.accepted, m.n) END FROM g JOIN m ON m.n = g.n + 1),
+done AS (SELECT accepted FROM g ORDER BY n DESC LIMIT 1),
+skipped AS (SELECT m.n, list_min(list_intersect(m.ms, done.accepted)) AS na FROM m, done WHERE NOT list_contains(done.accepted, m.n)),
+told AS (SELECT later AS id, earlier AS matched_id, round(jaccard, 6) AS jaccard FROM skipped s JOIN p ON p.na = s.na AND p.nb = s.n) """
 for _name, _t in (("i6_near_pairs", D.SAVE_THRESHOLD), ("i12_similar_pairs", D.SUGGEST_THRESHOLD)):
-    on(_name, ("memories_dd",), lambda m, t=_t: D.similar_pairs(m, t).select("earlier", "later", F.round("jaccard", 6).alias("jaccard")), _PAIRS.format(t=_t))
-on("i6_near_dedupe", ("memories_dd",), D.near_duplicates)
-on("i12_suggest_dupes", ("memories_dd",), D.suggest_duplicates)
+    on(_name, ("memories_dd",), lambda m, t=_t: D.similar_pairs(m, t).select("earlier", "later", F.round("jaccard", 6).alias("jaccard")), _REP_PAIRS.replace("{t}", str(_t)))
+on("i6_near_dedupe", ("memories_dd",), D.near_duplicates, _GREEDY.replace("{t}", str(D.SAVE_THRESHOLD)) + "SELECT id, matched_id, jaccard FROM told", True)
+on("i12_suggest_dupes", ("memories_dd",), D.suggest_duplicates, _GREEDY.replace("{t}", str(D.SUGGEST_THRESHOLD)) + "SELECT matched_id AS seed_id, id, jaccard FROM told UNION ALL SELECT DISTINCT matched_id, matched_id, 1.0 FROM told", True)
+
+# operators whose SQL is of its own
+on("j2_edge_symbol", ("symbols", "edges"), lambda s, e: G.fan(s, e).join(s.select("id", "qname"), "id").where("callers > 0").select("qname", "callers"), "SELECT s.qname, count(*) AS callers FROM edges e JOIN symbols s ON s.id = e.callee GROUP BY s.qname")
+on("j3_implements_symbol", ("implements", "symbols"), lambda i, s: G.implementers(i, s, 1 << 30).join(s.select(F.col("id").alias("impl"), "qname"), "impl").select("iface", "qname"), "SELECT i.iface, t.qname FROM implements i JOIN symbols t ON t.id = i.impl")
+on("j11_frontier", ("symbols", "edges"), lambda s, e: G.reach(s.where("kind = 'func'"), e, True, 1).where("depth = 1").select(F.col("start").alias("callee"), F.col("id").alias("caller")), "SELECT caller, callee FROM edges WHERE callee IN (SELECT id FROM symbols WHERE kind = 'func')")
+on("a7_fan_in_out", ("symbols", "edges"), G.fan, "SELECT s.id, (SELECT count(DISTINCT caller) FROM edges i WHERE i.callee = s.id) AS callers, (SELECT count(DISTINCT callee) FROM edges o WHERE o.caller = s.id) AS callees FROM symbols s")
+on("a8_implementer_total", ("implements", "symbols"), lambda i, s: G.implementers(i, s).where("position = 1").select("iface", "total"), "SELECT iface, count(*) AS total FROM implements GROUP BY iface")
+on("a10_index_size", ("symbols", "edges", "implements"), lambda s, e, i: G.index_size(symbols=s, edges=e, implements=i), "SELECT 'symbols' AS name, count(*) AS n FROM symbols UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'implements', count(*) FROM implements")
+on("w8_neighbour_cap", ("symbols", "edges"), lambda s, e: G.nearest_direct(s, e, 2), "SELECT start, id, r FROM (SELECT e.callee AS start, s.id, row_number() OVER (PARTITION BY e.callee ORDER BY s.package <> t.package, s.qname) AS r FROM edges e JOIN symbols s ON s.id = e.caller JOIN symbols t ON t.id = e.callee) x WHERE r <= 2")
+on("w9_package_surface", ("symbols",), lambda s: G.package_surface(s.select(F.concat(F.lit("/"), F.col("package"), F.lit("/")).alias("name")).distinct().select(F.col("name").alias("query_id"), "name"), s.withColumns({"package": F.concat_ws("/", F.lit("mod"), F.lower("signature"), "package"), "doc": F.concat(F.lit("  "), F.col("name"), F.lit("\nmore"))}), 20), """
+WITH p AS (SELECT *, concat_ws('/', 'mod', lower(signature), package) AS full_name FROM symbols),
+r AS (SELECT package, min_by(full_name, (length(full_name), full_name)) AS found FROM p GROUP BY package),
+e AS (SELECT full_name, id, name, row_number() OVER (PARTITION BY full_name ORDER BY line, id) AS position FROM p WHERE exported),
+c AS (SELECT full_name, count(*) FILTER (NOT exported) AS unexported, count(*) FILTER (exported) > 20 AS truncated FROM p GROUP BY full_name)
+SELECT concat('/', r.package, '/') AS query_id, r.found AS package, position, id, name AS doc, unexported, truncated FROM r JOIN e ON e.full_name = r.found JOIN c ON c.full_name = r.found WHERE position <= 20""")

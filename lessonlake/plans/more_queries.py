@@ -18,8 +18,7 @@ def w5_browse_tier(spark, sf_dir):
     m = view(spark, sf_dir, "memories")
     index = R.build(m)
     requests = view(spark, sf_dir, "search_requests").withColumn("task_type", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
-    tiers = [R.browse(requests.withColumn("kind", F.lit(k)), m, index, 5).withColumn("kind", F.lit(k)) for k in S.KINDS[:2]]
-    return tiers[0].unionByName(tiers[1]).select("query_id", "kind", "rank", "id")
+    return R.browse_kinds(requests, m, index, S.KINDS[:2], 5).select("query_id", "kind", "rank", "id")
 
 
 register("w5_browse_tier", w5_browse_tier, cte(f"""WITH {_MEM_INDEX}, {_REQ}, {_phrase_sql('req', 'query')}, {_bm25_sql(R.WEIGHTED)},
@@ -28,34 +27,21 @@ SELECT query_id, kind, rank, id FROM ranked WHERE rank <= 5"""))
 
 
 def i1_ingest(spark, sf_dir):
-    rows = view(spark, sf_dir, "save_requests").withColumns({"task_type": F.substring("tags", 1, 2), "kind": F.lit("task_pattern"), "title": F.substring("what", 1, 190)})
+    rows = view(spark, sf_dir, "save_requests").withColumns({"task_type": F.substring("tags", 1, 2), "kind": F.lit("task_pattern")})
     return S.ingest(rows)
 
 
 register("i1_ingest", i1_ingest)
 register("i10_dry_run", lambda s, d: i1_ingest(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")))
-register("i4_identifier_secrets", lambda s, d: P.offenders(view(s, d, "memories").select("id", F.concat_ws(" ", "session_id", "title").alias("session_id")), "session_id", "id"))
 register("i8_upsert", lambda s, d: S.upsert(view(s, d, "memories").withColumn("fingerprint", F.sha2("what", 256))).select("id", "origin", "created_at", "updated_at", "tags"), cte("SELECT min_by(id, created_at) AS id, min_by(origin, created_at) AS origin, min(created_at) AS created_at, max(updated_at) AS updated_at, max_by(tags, created_at) AS tags FROM memories GROUP BY sha256(what)"))
 register("g2_describe", lambda s, d: G.describe(_ask(view(s, d, "symbols")), view(s, d, "symbols"), view(s, d, "edges"), view(s, d, "implements")))
-register("g7_with_methods", lambda s, d: G.with_methods(view(s, d, "symbols").where("kind = 'type'").select("id", F.col("package").alias("qname")), view(s, d, "symbols").where("kind = 'method' AND line > 48").select(F.concat_ws(".", "package", F.replace("name", F.lit("."), F.lit("_"))).alias("qname"))).select("id"), cte("SELECT id FROM symbols t WHERE kind = 'type' AND EXISTS (SELECT 1 FROM symbols m WHERE m.kind = 'method' AND m.line > 48 AND m.package = t.package)"))
-register("g8_edge_totals", lambda s, d: G.edge_totals(view(s, d, "symbols"), view(s, d, "edges_dense"), True, 2), cte("SELECT callee AS id, count(DISTINCT caller) AS total FROM edges_dense GROUP BY callee HAVING count(DISTINCT caller) > 2"))
+register("g7_with_methods", lambda s, d: G.with_methods(view(s, d, "symbols").where("kind = 'type'").select("id", F.col("package").alias("qname")), view(s, d, "symbols").where("kind = 'method'").select(F.concat_ws(".", "package", F.replace("name", F.lit("."), F.lit("_"))).alias("qname"))).select("id"), cte("SELECT id FROM symbols t WHERE kind = 'type' AND EXISTS (SELECT 1 FROM symbols m WHERE m.kind = 'method' AND m.package = t.package)"))
+register("g8_edge_totals", lambda s, d: G.edge_totals(view(s, d, "symbols"), view(s, d, "edges"), True, 2), cte("SELECT callee AS id, count(DISTINCT caller) AS total FROM edges GROUP BY callee HAVING count(DISTINCT caller) > 2"))
 
 
 def a11_fold_reports(spark, sf_dir):
-    m = view(spark, sf_dir, "memories").select("id", "title", "what")
-    both = P.scrub(P.scrub(m, "title").withColumnRenamed("counts", "first").drop("redactions"), "what")
-    return both.select(F.explode(P.fold_reports(F.col("first"), F.col("counts"))).alias("pattern", "n")).groupBy("pattern").agg(F.sum("n").cast("long").alias("n"))
+    fields = P.scrub_fields(view(spark, sf_dir, "memories").select("id", "title", "what", "learned"), ("title", "what", "learned"))
+    return P.by_pattern(fields)
 
 
 register("a11_fold_reports", a11_fold_reports)
-
-
-def r10_tuning_log(spark, sf_dir):
-    """One record for each candidate that was evaluated, with whether the gate let it through."""
-    m = view(spark, sf_dir, "memories")
-    prompts = view(spark, sf_dir, "prompts").select(F.concat_ws(":", F.col("session").cast("string"), F.col("seq").cast("string")).alias("query_id"), "query")
-    found = R.search(prompts, m, R.build(m), limit=10)
-    return found.select("query_id", "rank", "id", "score", "overlap", (F.col("overlap") >= 0.3).alias("passed"))
-
-
-register("r10_tuning_log", r10_tuning_log)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lessonlake.operators import scrub as P
 from lessonlake.operators import sessions as E
-from lessonlake.plans.catalog import run, same
+from lessonlake.plans.catalog import run
 from lessonlake.plans.registry import register
 from lessonlake.plans.views import _SPARK, VIEWS, cte, table, view
+from lessonlake.sources import hooks as H
 from lessonlake.sources.shared import shared_path
 from lessonlake.streaming import sessions as stream
 
@@ -22,7 +23,6 @@ c AS (SELECT *, sum(CASE WHEN event = 'PostToolUse' AND tool = 'Edit' THEN 1 ELS
 k AS (SELECT *, last_value(CASE WHEN event = 'stage' THEN changes END IGNORE NULLS) OVER (PARTITION BY session, segment ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS at_stage FROM c) """
 _DUE = "changes >= 8 AND (at_stage IS NULL OR changes - at_stage >= 8)"
 _VERDICT = "CASE WHEN at_stage IS NULL THEN 'nothing_staged' WHEN changes < 8 THEN 'below_threshold' ELSE 'saved' END"
-same("r1_dispatch", "SELECT session, event, count(*) AS n FROM hook_events GROUP BY session, event")
 on("r2_change_counter", "hook_events", lambda h: E.counted(h).select("session", "segment", "event_id", "changes"), _SEG + "SELECT session, segment, event_id, changes FROM k")
 on("r3_stage", "hook_events", lambda h: E.counted(h).where("event = 'stage'").select("session", "event_id", F.col("at_stage").alias("at_stage")), _SEG + "SELECT session, event_id, at_stage FROM k WHERE event = 'stage'")
 on("r4_stage_gate", "hook_events", E.stage_gate, _SEG + f"SELECT session, segment, event_id, changes, {_DUE} AS due FROM k WHERE event = 'Stop'")
@@ -33,18 +33,19 @@ on("r7_idle_windows", "hook_events", lambda h: E.idle_windows(h), "WITH g AS (SE
 on("r9_files", "hook_events", E.files, _SEG + ", f AS (SELECT session, segment, path, min((sec, event_id)) AS first FROM k WHERE tool IS NOT NULL AND path <> '' GROUP BY session, segment, path) SELECT session, segment, path, row_number() OVER (PARTITION BY session, segment ORDER BY first) AS position FROM f")
 
 
-def r8_injected_once(spark, sf_dir):
-    from lessonlake.operators import retrieval as R
+def _hook_lines(h):
+    """The hook events as JSON lines: some are broken, some have fields of other types, some Stops are active already."""
+    told = F.to_json(F.struct(F.concat(F.substring("event", 1, 4), F.lit("-"), F.substring("event", 5, 20)).alias("hook_event_name"), F.col("session").cast("string").alias("session_id"), F.col("tool").alias("tool_name"), F.struct(F.when(F.col("event_id") % 2 == 0, F.col("path")).alias("file_path"), F.when(F.col("event_id") % 2 == 1, F.col("path")).alias("notebook_path")).alias("tool_input"), (F.col("event_id") % 5 == 0).alias("stop_hook_active"), F.when(F.col("event_id") % 3 == 0, F.lit(" ")).otherwise(F.lit("hi")).alias("prompt")))
+    value = F.when(F.col("event_id") % 11 == 0, F.lit("{broken")).when(F.col("event_id") % 13 == 0, F.lit("[1]")).otherwise(told)
+    return h.select("event_id", value.alias("value"))
 
-    m = view(spark, sf_dir, "memories")
-    prompts = view(spark, sf_dir, "prompts")
-    keyed = prompts.select(F.concat_ws(":", F.col("session").cast("string"), F.col("seq").cast("string")).alias("query_id"), "query")
-    found = R.search(keyed, m, R.build(m), limit=10).where("overlap >= 0.1")
-    split = F.split("query_id", ":")
-    return E.injected_once(found.select(split[0].cast("long").alias("session"), split[1].cast("long").alias("seq"), "rank", "id"))
 
-
-register("r8_injected_once", r8_injected_once)
+_BROKEN = "(event_id % 11 = 0 OR event_id % 13 = 0)"
+_NAME = f"CASE WHEN {_BROKEN} THEN '' ELSE lower(event) END"
+_HANDLED = f"NOT {_BROKEN} AND event IN ('PostToolUse', 'Stop', 'SessionEnd', 'SessionStart') AND NOT (event = 'Stop' AND event_id % 5 = 0)"
+on("s14_hook_events", "hook_events", lambda h: H.parse(_hook_lines(h)).select("event_id", "event", "tool", "path", "handled"),
+   f"SELECT event_id, {_NAME} AS event, CASE WHEN NOT {_BROKEN} THEN tool END AS tool, CASE WHEN NOT {_BROKEN} AND tool IN ('Edit', 'Read') THEN nullif(path, '') END AS path, {_HANDLED} AS handled FROM hook_events")
+on("r1_dispatch", "hook_events", lambda h: H.dispatch_counts(H.parse(_hook_lines(h))), f"SELECT session::STRING AS session, lower(event) AS event, count(*) AS n FROM hook_events WHERE {_HANDLED} GROUP BY ALL")
 
 
 def r1_stream_machine(spark, sf_dir):
@@ -72,6 +73,12 @@ _FOLDED = [n for x in P.DETECTORS if x.any_case for n in x.needles]
 register("p2_prefilter", lambda s, d: _docs(s, d).select("doc_id", P.may_match(F.col("text")).alias("candidate")), "SELECT doc_id, coalesce(" + " OR ".join([f"contains(text, '{n}')" for n in _EXACT] + [f"contains(lower(text), '{n}')" for n in _FOLDED] + ["strlen(text) <> length(text)"]) + ", FALSE) AS candidate FROM documents")
 register("s13_scrub_file", lambda s, d: P.by_pattern(P.scrub(_docs(s, d), "text")))
 register("a4_scrub_stats", lambda s, d: P.stats(P.scrub(_docs(s, d), "text")))
-on("i3_tag_secrets", "memories", lambda m: P.offenders(m.select("id", F.col("what").alias("tags")), "tags", "id"))
+# planted: a key among the tags, an address as the session
+_KEY = "concat('AK', 'IA', 'ABCDEFGHIJKLMNOP')"
+_TAGS = f"CASE WHEN doc_id % 7 = 0 THEN concat(tags, ' ', {_KEY}, ' more') ELSE tags END"
+_SESSION = "CASE WHEN doc_id % 9 = 0 THEN concat('u', CAST(doc_id AS STRING), '@example.org') ELSE session_id END"
+on("i3_tag_secrets", "memories", lambda m: P.offenders(m.select("id", F.expr(_TAGS).alias("tags")), "tags", "id"), f"SELECT id, {_KEY} AS offender FROM memories WHERE doc_id % 7 = 0")
+on("i4_identifier_secrets", "memories", lambda m: P.scrub_fields(m.select("id", F.expr(_SESSION).alias("session_id"), "task_type", F.expr(_TAGS).alias("tags")), ("session_id", "task_type", "tags")).select("id", P.secret_field(("session_id", "task_type", "tags")).alias("error")),
+   "SELECT id, CASE WHEN doc_id % 9 = 0 THEN 'session_id_contains_secret' WHEN doc_id % 7 = 0 THEN 'tags_contains_secret' END AS error FROM memories")
 on("i14_rescrub", "memories", lambda m: P.rescrub(m).select("id", "fingerprint", F.size("fields_redacted").cast("long").alias("fields")))
 register("s11_repo_stamp", lambda s, d: s.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d).select("length", F.unix_seconds("modificationTime").alias("at")).agg(F.concat_ws(":", F.lit("v1"), F.count(F.lit(1)).cast("string"), F.sum("length").cast("string"), F.max("at").cast("string")).alias("stamp")))

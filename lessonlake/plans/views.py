@@ -28,7 +28,7 @@ _DUCK = {
 _MEMORY = """
   SELECT concat('mem_', lpad(CAST(d.doc_id AS STRING), 10, '0')) AS id, d.doc_id,
          concat('sess_', CAST(d.doc_id % 50 AS STRING)) AS session_id, {task_type} AS task_type, {kind} AS kind,
-         substr(d.text, 1, 60) AS title, substr(d.text, 1, 600) AS what, substr(d.text, 61, 240) AS learned,
+         substr(d.text, 1, 60) AS title, substr(d.text, 61, {half}) AS what, substr(d.text, 61 + {half}) AS learned,
          concat(d.lang, ' ', d.source) AS tags,
          1704067200 + d.doc_id * 3600 AS created_at, 1704067200 + d.doc_id * 3600 AS updated_at,
          CASE WHEN d.doc_id % 3 = 0 THEN 'shared' ELSE 'personal' END AS scope,
@@ -42,6 +42,8 @@ _MEMORY = """
              FROM events e CROSS JOIN (SELECT count(*) AS n FROM documents) c
              WHERE e.event_type IN ('view', 'click') GROUP BY e.event_id % c.n) x ON x.doc_id = d.doc_id
 """
+#: A text is dealt out whole: 60 characters of title, then half of the rest to each of the other fields.
+_MEMORY = _MEMORY.replace("{half}", "greatest(0, (length(d.text) - 59) {div} 2)")
 _KIND = "CASE (d.doc_id {div} 20) % 4 WHEN 0 THEN 'error_resolution' WHEN 1 THEN 'task_pattern' WHEN 2 THEN 'user_rule' ELSE 'session_summary' END"
 
 
@@ -52,23 +54,21 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "memories": (("save_requests",), "SELECT *, {fp} AS fingerprint FROM save_requests WHERE length(trim(learned)) > 0"),
     # copies always share lang, so this grouping makes them meet
     "memories_dd": (("memories",), "SELECT m.id, m.doc_id, substr(tags, 1, 2) AS task_type, 'task_pattern' AS kind, title, what, learned, tags, created_at FROM memories m"),
-    "search_requests": ((), "SELECT item_id AS query_id, {first8} AS query FROM benchmark"),
+    "search_requests": ((), "SELECT item_id AS query_id, text AS query FROM benchmark"),
     "prompts": ((), "SELECT conv_id AS session, turn AS seq, text AS query FROM conversations WHERE role = 'user'"),
     "symbols": ((), "SELECT p_partkey AS id, concat(p_brand, '.', {under}, '.', CAST(p_partkey AS STRING)) AS qname, {under} AS name, "
         "CASE p_size % 6 WHEN 0 THEN 'func' WHEN 1 THEN 'method' WHEN 2 THEN 'type' WHEN 3 THEN 'interface' WHEN 4 THEN 'const' ELSE 'var' END AS kind, "
         "p_brand AS package, p_type AS signature, p_partkey % 3 <> 0 AS exported, CAST(p_size AS BIGINT) AS line FROM part"),
+    # three spellings of each name
+    "spelled": (("symbols",), "SELECT id, CASE id % 3 WHEN 0 THEN name WHEN 1 THEN upper(name) ELSE replace(name, '_', '-') END AS task_type FROM symbols"),
     "edges": ((), "SELECT DISTINCT caller, callee FROM (SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS callee "
-        "FROM lineitem WHERE l_orderkey % 100 = 0) t WHERE callee IS NOT NULL AND caller <> callee"),
-    "edges_dense": ((), "SELECT DISTINCT caller, callee FROM (SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS callee "
-        "FROM lineitem WHERE l_orderkey % 40 = 0) t WHERE callee IS NOT NULL AND caller <> callee"),
+        "FROM lineitem) t WHERE callee IS NOT NULL AND caller <> callee"),
     "implements": (("symbols",), "SELECT i.id AS iface, t.id AS impl FROM symbols i JOIN symbols t ON i.signature = t.signature AND i.kind = 'interface' AND t.kind = 'type'"),
     "hook_events": ((), "SELECT user_id AS session, event_id, {epoch} AS sec, ts, "
         "CASE event_type WHEN 'click' THEN 'PostToolUse' WHEN 'view' THEN 'PostToolUse' WHEN 'purchase' THEN 'stage' WHEN 'error' THEN 'Stop' "
         "ELSE CASE WHEN event_id % 10 = 0 THEN 'SessionEnd' ELSE 'SessionStart' END END AS event, "
         "CASE event_type WHEN 'click' THEN 'Edit' WHEN 'view' THEN 'Read' END AS tool, concat('f', {key}) AS path FROM events"),
 }
-_SPARK["first8"] = r"array_join(slice(filter(split(text, r'[\t\n\f\r ]+'), x -> x <> ''), 1, 8), ' ')"
-_DUCK["first8"] = r"array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[\t\n\f\r ]+'), lambda x: x <> ''), 1, 8), ' ')"
 
 
 def _text(name: str, dialect: dict[str, str]) -> str:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lessonlake.functions import text as T
 from lessonlake.operators import store as S
+from lessonlake.sources.shared import materialize
 
 FIELDS = ("kind", "task_type", "title", "what", "learned", "tags")
 
@@ -28,8 +28,10 @@ def verdicts(lines: DataFrame, stored: DataFrame) -> DataFrame:
     rows = rows.withColumns({"scope": F.lit("shared"), "origin": F.lit("manual"), "session_id": F.lit("")})
     rows = rows.withColumn("error", F.when(F.col("bad"), "line:json").otherwise(S.validation_error()))
     rows = rows.withColumn("fingerprint", T.fingerprint(*[F.col(c) for c in ("task_type", "kind", "title", "learned")]))
-    known = stored.select("fingerprint", F.lit(True).alias("known")).distinct()
-    rows = rows.join(known, "fingerprint", "left")
-    again = F.row_number().over(Window.partitionBy("fingerprint", F.col("error").isNull()).orderBy("value")) > 1
-    verdict = F.when(F.col("error").isNotNull(), "failed").when(F.col("known") | again, "skipped").otherwise("imported")
-    return rows.withColumn("verdict", verdict).drop("known", "bad")
+    rows = materialize(rows.withColumn("line", F.monotonically_increasing_id()), "pool-lines")
+    # both lists are written before their join, which can so split a fingerprint of many lines
+    known = materialize(stored.select("fingerprint", F.lit(True).alias("known")).distinct(), "pool-known")
+    first = materialize(rows.where("error IS NULL").groupBy("fingerprint").agg(F.min("line").alias("first")), "pool-first")
+    rows = rows.join(known, "fingerprint", "left").join(first, "fingerprint", "left")
+    verdict = F.when(F.col("error").isNotNull(), "failed").when(F.col("known") | (F.col("line") != F.col("first")), "skipped").otherwise("imported")
+    return rows.withColumn("verdict", verdict).drop("known", "bad", "line", "first")

@@ -57,3 +57,39 @@ def test_dataframe_keeps_all_rows(spark):
     rows = spark.createDataFrame([(1, "plain"), (2, "mail jo@mail.example.org"), (3, None), (4, "")], "id long, text string")
     got = {r.id: (r.text, r.redactions) for r in scrub(rows, "text").collect()}
     assert got == {1: ("plain", 0), 2: ("mail [EMAIL]", 1), 3: (None, 0), 4: ("", 0)}
+
+
+def test_reports_over_fields(spark):
+    from pyspark.sql import functions as F
+
+    from lessonlake.operators import scrub as P
+
+    mail, ip = "jo" + "@" + "example.org", "10.0.0.1"
+    rows = [(1, mail, f"{ip} and {mail}", "plain"), (2, "é", "nothing", None), (3, "a", "b", f"at {ip}")]
+    table = spark.createDataFrame(rows, "id long, title string, what string, learned string").withColumns({"task_type": F.lit("t"), "kind": F.lit("k")})
+    fields = P.scrub_fields(table, ("title", "what", "learned"))
+    got = {r.id: (r.counts, r.fields_redacted, r.redactions, r.title, r.what, r.learned) for r in fields.collect()}
+    assert got[1] == ({"email": 2, "private_ipv4": 1}, ["title", "what"], 3, "[EMAIL]", "[PRIVATE_IP] and [EMAIL]", "plain")
+    assert got[2] == ({}, [], 0, "é", "nothing", None) and got[3][:3] == ({"private_ipv4": 1}, ["learned"], 1)
+    assert {r.pattern: r.n for r in P.by_pattern(fields).collect()} == {"email": 2, "private_ipv4": 2}
+    assert P.stats(fields).first().asDict() == {"rows": 3, "redacted_rows": 2, "redactions": 4, "rate": round(2 / 3, 6)}
+    once = P.rescrub(table)
+    assert P.rescrub(once.drop("counts", "fields_redacted")).select("id", "fingerprint").exceptAll(once.select("id", "fingerprint")).isEmpty()
+
+
+def test_offenders_are_words_or_the_whole(spark):
+    from lessonlake.operators import scrub as P
+
+    key, bearer = "AK" + "IA" + "ABCDEFGHIJKLMNOP", "Bear" + "er x9Kq2LmZ81vBn"
+    table = spark.createDataFrame([(1, f"a {key} b"), (2, bearer), (3, "plain tags")], "id long, tags string")
+    assert {(r.id, r.offender) for r in P.offenders(table, "tags", "id").collect()} == {(1, key), (2, bearer)}
+
+
+def test_many_matches_in_one_text():
+    import time
+
+    from lessonlake.operators.scrub import Scrubber
+
+    began = time.monotonic()
+    text, counts = Scrubber()(("jo" + "@" + "example.org ") * 20000)
+    assert counts == {"email": 20000} and text == "[EMAIL] " * 20000 and time.monotonic() - began < 20
