@@ -4,13 +4,17 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import os
+import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from lessonlake.llm import topk_bits, vptree, warc
+import test_documents as documents
+from lessonlake.llm import topk_bits, toxicity, vptree, warc
 
 
 def vectors(spark, n=400, dim=16, seed=0):
@@ -143,3 +147,75 @@ def test_pipeline_stages(spark):
             assert after.count() <= docs.count()
         docs = spark.createDataFrame(after.collect(), after.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def slow_mix(rows, weights=(5, 2, 1)):
+    """The texts of the mix by the documented rule; rows are (doc_id, text, source)."""
+    size, total = {}, 0
+    for _, t, s in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        size[s] = size.get(s, 0) + n
+        total += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    goal, left = {}, set(names)
+    while True:
+        spare = Fraction(3, 2) * total - sum(goal.values())
+        share = {s: spare * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if share[s] > 2 * size[s]}
+        if not over:
+            goal |= share
+            break
+        goal |= {s: 2 * size[s] for s in over}
+        left -= over
+    out = []
+    for s in names:
+        budget = math.floor(goal[s])
+        mine = [(hashlib.md5(f"{i}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), i, t) for i, t, x in rows if x == s]
+        while budget > 0:
+            for _, i, t in sorted(mine):
+                words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+                if words and budget > 0:
+                    out.append((i, t if budget >= len(words) else " ".join(words[:budget])))
+                    budget -= len(words)
+    return out
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts, labels = documents.toxic_tables(spark, 240)
+    rows = [(r.doc_id, r.text, f"s{r.doc_id % 4}") for r in texts.collect()]
+    for i, t, s in rows[7:60:9]:
+        words = t.split()
+        rows.append((1000 + i, " ".join([*words[:-1], "edit"]), s))  # near copies, and exact ones
+        rows.append((2000 + i, t, "s2"))
+    rows = [(i, f"{t} write to user{i}@mail.example.org today" if i % 5 == 1 else t, s) for i, t, s in rows] + [(5000, None, "s1"), (5001, "", None), (5002, "alone here", None)]
+    table = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    model = toxicity.train(table, labels)
+    scores = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+    kept = [r for r in rows if scores[r[0]] < 0.7]
+    assert 0 < len(rows) - len(kept) < len(rows) // 3 and all(i % 6 == 0 for i, _, _ in set(rows) - set(kept) if i < 1000)
+    roots = documents.slow_components({i: documents.slow_fingerprint(t) for i, t, _ in kept})
+    unique = [r for r in kept if roots[r[0]] == r[0]]
+    assert len(unique) < len(kept)
+    found, clean = documents.slow_found([(i, t) for i, t, _ in unique]), []
+    for i, t, s in unique:
+        out, at = [], 0
+        for k, a, b in sorted(found[i], key=lambda x: (x[1], x[2])):
+            if a >= at:
+                out += [t[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        clean.append((i, t if t is None else "".join(out) + t[at:], s))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for i, t in slow_mix(clean):
+        ids = library.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(got) == sorted(want)
