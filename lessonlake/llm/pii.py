@@ -269,12 +269,15 @@ def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, *columns: Column) -> DataFrame:
-    """``columns`` of every row, with base, spans and cuts."""
-    texts = _spans_by_text(_keyed(docs, F.coalesce(F.col("text"), F.lit("")).alias("text")))
-    joined = _keyed(docs, *columns).join(texts, ["h1", "h2"], "left")
+    """``columns`` of every row, with base, spans and cuts. Only texts with a digit or an @ can have any, so only they are shuffled."""
     none = F.array().cast("array<struct<k:int,s:int,e:int>>")
-    cuts = F.coalesce("cuts", F.array().cast("array<struct<s:int,e:int,k:int>>"))
-    return joined.withColumns({"base": F.coalesce("base", none), "spans": F.coalesce("spans", none), "cuts": cuts})
+    bare = F.array().cast("array<struct<s:int,e:int,k:int>>")
+    some = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
+    texts = _spans_by_text(_keyed(docs.where(some), F.col("text")))
+    joined = _keyed(docs.where(some), *columns).join(texts, ["h1", "h2"], "left").drop("h1", "h2")
+    found = {"base": F.coalesce("base", none), "spans": F.coalesce("spans", none), "cuts": F.coalesce("cuts", bare)}
+    rest = docs.where(~some).select(*columns, none.alias("base"), none.alias("spans"), bare.alias("cuts"))
+    return joined.withColumns(found).unionByName(rest)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
