@@ -87,7 +87,9 @@ def fingerprint_roots(nodes: DataFrame) -> DataFrame:
     """(fp, root) for every fingerprint of ``nodes`` (distinct longs ``fp``) that has a link."""
     half = F.when(F.col("i") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     wiped = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, i % 32)")))
-    signed = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    # spread first: a file of fingerprints is small, and each becomes 64 rows
+    spread = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    signed = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     signed = signed.select("fp", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(wiped).alias("sig"))
     # counted before the join, which can then split a hot signature
     often = materialize(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "repeated-signatures")
