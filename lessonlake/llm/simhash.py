@@ -140,6 +140,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_ROW_KEY = ["k_tag", "k_id", "k_none"]
+
+
+def _row_key(doc_id: F.Column, tag: F.Column) -> list[F.Column]:
+    """Columns without nulls, so that joins and groups partition by them alike."""
+    return [tag.alias("k_tag"), F.coalesce(doc_id, F.lit(0)).alias("k_id"), doc_id.isNull().alias("k_none")]
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate component, with all columns: that of the smallest doc_id.
 
@@ -148,7 +156,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     no rows; all columns stay, whatever their names.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first")
-    winners = _grouped(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("w_id"), F.col("first.tag").alias("w_tag"))
-    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("p_id"), _tag().alias("p_tag"))
-    kept = rows.join(winners, (F.col("p_tag") == F.col("w_tag")) & F.col("p_id").eqNullSafe(F.col("w_id")), "left_semi")
-    return kept.dropDuplicates(["p_id", "p_tag"]).select("packed.*")
+    winners = _grouped(docs).groupBy("root").agg(first).select(*_row_key(F.col("first.doc_id"), F.col("first.tag")))
+    rows = docs.select(packed(docs), *_row_key(F.col("doc_id").cast("long"), _tag()))
+    # repeated rows first, on the keys of the join: they are combined before a shuffle that the join then shares
+    return rows.dropDuplicates(_ROW_KEY).join(winners, _ROW_KEY, "left_semi").select("packed.*")
