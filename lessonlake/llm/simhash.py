@@ -1,20 +1,22 @@
-"""SimHash near-duplicates, found through deletion-variant signatures.
-
-A 64-bit fingerprint is cut into two halves. Of two fingerprints that differ in three bits at most,
-one half differs in at most one, so the two share at least one of the 64 signatures "half h with bit
-i wiped out". An equality join on signatures therefore finds every link, and each is verified on the
-whole fingerprint. Copies of one fingerprint are one node throughout.
-
-Inside a signature no product of its members is made. Members are dealt to parts by the first byte of
-the other half; in a part they are linked to their neighbour in sorted order and to the smallest, and
-the smallest members of a signature's parts are linked alike. Only signatures that still hold more
-than one component after that are looked at again: whoever is outside the largest component meets
-the members with which it shares one of the other half's four bytes, as any link must.
+"""SimHash near-duplicates, found through signatures of three blocks in six.
+
+A 64-bit fingerprint is cut into six blocks. Of two fingerprints that differ in three bits at most,
+three blocks at least are equal, so the two share at least one of the 20 signatures "these three
+blocks", each of 31 to 33 bits. An equality join on signatures therefore finds every link, and each is
+verified on the whole fingerprint. Copies of one fingerprint are one node throughout.
+
+Inside a signature no product of its members is made. The bits that a signature leaves out are cut
+into four pieces, of which a link has at least one in common. Members are dealt to parts by the last
+piece; in a part they are linked to their neighbour in sorted order and to the smallest, and the
+smallest members of a signature's parts are linked alike. Only signatures that still hold more than
+one component after that are looked at again: whoever is outside the largest component meets the
+members with which it shares one of the four pieces, as any link must.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,11 @@ from lessonlake.llm.components import components
 SHINGLE = 3
 DISTANCE = 3
 _CHUNK = 1 << 16
+#: First bit and width of each block, and the blocks that each signature keeps.
+_BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+_KEPT = list(combinations(range(len(_BLOCKS)), len(_BLOCKS) - DISTANCE))
+#: Bits of a signature below its number.
+_KEY_BITS = 33
 
 
 def fingerprint(text: str | None, n: int = SHINGLE) -> int:
@@ -77,24 +84,37 @@ def _neighbours(members: DataFrame, *group: str) -> DataFrame:
     return beside.select(F.col("fp").alias("a"), "b").where(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
 
 
-def _other_byte(i: F.Column) -> F.Column:
-    """Byte ``i`` (0 to 3) of the half that the signature leaves out."""
-    whole = F.when(F.col("sig") < F.lit(32 << 32), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
-    return F.call_function("shiftright", whole, (i * 8).cast("int")).bitwiseAND(F.lit(255)).cast("int")
+def _signature(number: int) -> F.Column:
+    """The bits of the kept blocks side by side, below the signature's number."""
+    sig, at = F.lit(number << _KEY_BITS).cast("long"), 0
+    for first, width in (_BLOCKS[b] for b in _KEPT[number]):
+        block = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        sig, at = sig.bitwiseOR(F.shiftleft(block, at)), at + width
+    return sig
+
+
+def _pieces(number: int) -> list[int]:
+    """Masks, as signed longs, of the pieces of what a signature leaves out."""
+    left_out = [first + i for b, (first, width) in enumerate(_BLOCKS) if b not in _KEPT[number] for i in range(width)]
+    masks = [sum(1 << int(bit) for bit in piece) for piece in np.array_split(left_out, DISTANCE + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _piece(i: int) -> F.Column:
+    """Piece ``i`` (0 to 3) of the bits that the signature leaves out, in their places."""
+    masks = F.array(*[F.lit(_pieces(number)[i]).cast("long") for number in range(len(_KEPT))])
+    return F.col("fp").bitwiseAND(F.get(masks, F.shiftrightunsigned("sig", _KEY_BITS).cast("int")))
 
 
 def fingerprint_roots(nodes: DataFrame) -> DataFrame:
     """(fp, root) for every fingerprint of ``nodes`` (distinct longs ``fp``) that has a link."""
-    half = F.when(F.col("i") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
-    wiped = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, i % 32)")))
-    # spread first: a file of fingerprints is small, and each becomes 64 rows
+    # spread first: a file of fingerprints is small, and each becomes 20 rows
     spread = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    signed = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    signed = signed.select("fp", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(wiped).alias("sig"))
+    signed = spread.select("fp", F.explode(F.array(*[_signature(number) for number in range(len(_KEPT))])).alias("sig"))
     # counted before the join, which can then split a hot signature
     often = materialize(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"), "repeated-signatures")
     shared = signed.join(often, "sig").select("sig", "fp")
-    shared = materialize(shared.withColumn("part", _other_byte(F.lit(3))), "signatures")
+    shared = materialize(shared.withColumn("part", _piece(DISTANCE)), "signatures")
 
     heads = shared.groupBy("sig", "part").agg(F.min("fp").alias("fp"))
     links = _neighbours(shared, "sig", "part").unionByName(_neighbours(heads, "sig"))
@@ -106,11 +126,11 @@ def fingerprint_roots(nodes: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"))
     open_sigs = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
     open_sigs = materialize(open_sigs.select("sig", F.col("most.root").alias("largest")), "open-signatures")
-    bytes_of = F.posexplode(F.array(*[_other_byte(F.lit(i)) for i in range(4)])).alias("at", "byte")
-    open_rows = materialize(labelled.join(open_sigs, "sig").select("sig", "fp", "root", "largest", bytes_of), "open-members")
-    left = open_rows.where("root <> largest").select("sig", "at", "byte", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    right = open_rows.select("sig", "at", "byte", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, ["sig", "at", "byte"]).where((F.col("ra") != F.col("rb")) & _near("a", "b", DISTANCE))
+    pieces_of = F.posexplode(F.array(*[_piece(i) for i in range(DISTANCE + 1)])).alias("at", "piece")
+    open_rows = materialize(labelled.join(open_sigs, "sig").select("sig", "fp", "root", "largest", pieces_of), "open-members")
+    left = open_rows.where("root <> largest").select("sig", "at", "piece", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    right = open_rows.select("sig", "at", "piece", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    across = left.join(right, ["sig", "at", "piece"]).where((F.col("ra") != F.col("rb")) & _near("a", "b", DISTANCE))
     across = materialize(across.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
     if across.isEmpty():
         return roots.withColumnRenamed("node", "fp")

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and on odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -10,6 +11,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lessonlake.llm import bpe, ctw, mixing, pii, simhash, substring, toxicity
 
@@ -150,6 +152,55 @@ def test_roots_of_a_hot_signature(spark):
     assert {v: got.get(v, v) for v in values} == want
 
 
+def test_every_link_shares_a_signature_and_a_piece():
+    whole = (1 << 64) - 1
+    pieces = [[m & whole for m in simhash._pieces(number)] for number in range(len(simhash._KEPT))]
+    for own in pieces:
+        assert sum(own).bit_count() == sum(m.bit_count() for m in own) and max(m.bit_count() for m in own) <= 9
+    for bits in itertools.combinations(range(64), 3):  # fewer bits share all that these share
+        flipped = sum(1 << b for b in bits)
+        same = [own for own in pieces if not flipped & (whole ^ sum(own))]
+        assert same and all(any(not flipped & m for m in own) for own in same)
+
+
+def test_signatures_hold_the_kept_blocks(spark):
+    random.seed(21)
+    values = [0, (1 << 64) - 1, 1 << 63, *(random.getrandbits(64) for _ in range(20))]
+    signed = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    numbers = range(len(simhash._KEPT))
+    for row in signed.select("fp", F.array(*[simhash._signature(n) for n in numbers]).alias("sigs")).collect():
+        for n in numbers:
+            key, at = 0, 0
+            for first, width in (simhash._BLOCKS[b] for b in simhash._KEPT[n]):
+                key |= ((row.fp >> first) & ((1 << width) - 1)) << at
+                at += width
+            assert row.sigs[n] == n << 33 | key and at <= 33
+
+
+def test_rows_shuffled_for_a_fingerprint(spark):
+    # with no join broadcast, as on tables of any size: growth must not wait for the switch of a join
+    random.seed(22)
+    values = [random.getrandbits(63) for _ in range(3000)]
+    values += [v ^ 0b11 for v in values[:20]]
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (found.apply(i) for i in range(found.size()))}
+
+    before, limit = stages(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        roots = {r.fp: r.root for r in simhash.fingerprint_roots(nodes).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(roots) == 40 and all(roots[v] == roots[v ^ 0b11] for v in values[:20])
+    rows = sum(n for at, n in stages().items() if at not in before)
+    assert 20 * len(values) < rows < 50 * len(values)
+
+
 def test_simhash_odd_rows(docs, no_docs):
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert got[(1, "0" * 16)] == got[(2, "0" * 16)] == got[(3, "0" * 16)] == 1
