@@ -19,3 +19,8 @@ def test_totals_of_shapes(spark):
     assert rows(shapes(spark)[1].totals()) == [(0, 15), (1, 15), (2, 15)]
 
 
+def test_satisfies_by_shape(spark):
+    symbols, found = shapes(spark)
+    assert rows(found.satisfies(symbols, 1)) == rows(graph.satisfies(found.pairs(), symbols, 1)) != []
+
+
