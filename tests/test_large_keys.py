@@ -24,3 +24,8 @@ def test_satisfies_by_shape(spark):
     assert rows(found.satisfies(symbols, 1)) == rows(graph.satisfies(found.pairs(), symbols, 1)) != []
 
 
+def test_implementers_by_shape(spark):
+    symbols, found = shapes(spark)
+    assert rows(found.implementers(symbols, 4)) == rows(graph.implementers(found.pairs(), symbols, 4)) != []
+
+
