@@ -29,3 +29,27 @@ def test_implementers_by_shape(spark):
     assert rows(found.implementers(symbols, 4)) == rows(graph.implementers(found.pairs(), symbols, 4)) != []
 
 
+def most_rows(spark, run):
+    """Result of ``run()`` and the most records that any of its stages shuffled."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()).iterator()
+        out = {}
+        while found.hasNext():
+            stage = found.next()
+            out[stage.stageId()] = stage.shuffleWriteRecords()
+        return out
+
+    before = stages()
+    result = run()
+    return result, max(n for i, n in stages().items() if i not in before)
+
+
+def test_satisfied_shuffles_no_pairs(spark):
+    needs = spark.createDataFrame([(i, m) for i in range(200) for m in ("a", "b")] + [(999, None)], "iface long, method string")
+    has = spark.createDataFrame([(i, m) for i in range(200) for m in ("a", "b", "c")] + [(500, "a")], "impl long, method string")
+    got, most = most_rows(spark, lambda: graph.satisfied(needs, has).collect())
+    assert len(got) == 40000 and {r.impl for r in got} == set(range(200)) and most < 20000
+
+
