@@ -53,3 +53,11 @@ def test_satisfied_shuffles_no_pairs(spark):
     assert len(got) == 40000 and {r.impl for r in got} == set(range(200)) and most < 20000
 
 
+def test_resolve_shuffles_no_pairs(spark):
+    symbols = spark.createDataFrame([(i, f"p.n.{i}", "n") for i in range(300)], "id long, qname string, name string")
+    asked = spark.createDataFrame([(i, "n") for i in range(300)], "query_id long, name string")
+    got, most = most_rows(spark, lambda: graph.resolve(asked, symbols).collect())
+    first = sorted(range(300), key=lambda i: f"p.n.{i}")[:20]
+    assert sorted((r.query_id, r.id) for r in got) == sorted((q, i) for q in range(300) for i in first) and all(r.ambiguous and r.tier == 2 for r in got) and most < 20000
+
+
