@@ -61,3 +61,15 @@ def test_resolve_shuffles_no_pairs(spark):
     assert sorted((r.query_id, r.id) for r in got) == sorted((q, i) for q in range(300) for i in first) and all(r.ambiguous and r.tier == 2 for r in got) and most < 20000
 
 
+def full_graph(spark, n):
+    return spark.createDataFrame([(a, b) for a in range(n) for b in ((a + 1) % n, (a + 7) % n, (a * 3 + 1) % n, (a * 5 + 2) % n) if a != b], "caller long, callee long").distinct()
+
+
+def test_neighbours_stop_at_the_cap(spark):
+    edges = full_graph(spark, 400)
+    symbols = spark.createDataFrame([(i, f"q{i:03}", f"p{i % 3}") for i in range(400)], "id long, qname string, package string")
+    got, most = most_rows(spark, lambda: rows(graph.neighbours(symbols, symbols, edges, False, 5, 4)))
+    near = graph.nearest_direct(symbols, edges.select(F.col("caller").alias("callee"), F.col("callee").alias("caller")), 4)
+    assert len(got) == 1600 and set(rows(near)) <= {(s, i, p) for s, p, i, _ in got} and most < 12000
+
+
