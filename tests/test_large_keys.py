@@ -73,3 +73,27 @@ def test_neighbours_stop_at_the_cap(spark):
     assert len(got) == 1600 and set(rows(near)) <= {(s, i, p) for s, p, i, _ in got} and most < 12000
 
 
+def test_paths_meet_in_the_middle(spark):
+    edges = full_graph(spark, 60)
+    out = {}
+    for r in edges.collect():
+        out.setdefault(r.caller, []).append(r.callee)
+    want = {}
+    for start in range(0, 60, 7):
+        paths, level = {start: [start]}, {start: [start]}
+        while level:
+            longer = {}
+            for path in level.values():
+                for n in out[path[-1]]:
+                    if n not in paths:
+                        longer[n] = min(longer.get(n, [99]), [*path, n])
+            paths |= longer
+            level = longer
+        want |= {(start, t): paths[t] for t in (3, 30, 59, start)}
+    asked = spark.createDataFrame([*want, (3, 1000)], "start long, target long")
+    assert {(r.start, r.target): r.path for r in graph.shortest_path(asked, edges).collect()} == want
+    line = spark.createDataFrame([(i, i + 1) for i in range(12)], "caller long, callee long")
+    asked = spark.createDataFrame([(0, t) for t in range(13)], "start long, target long")
+    assert sorted(len(r.path) for r in graph.shortest_path(asked, line).collect()) == list(range(1, 12))
+
+
