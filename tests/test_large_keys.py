@@ -97,3 +97,14 @@ def test_paths_meet_in_the_middle(spark):
     assert sorted(len(r.path) for r in graph.shortest_path(asked, line).collect()) == list(range(1, 12))
 
 
+def test_symbols_that_match_alike_are_scored_once(spark):
+    symbols = spark.createDataFrame([(i, f"p.{'abcd'[i % 4]}_x", f"{'abcd'[i % 4]}_x", "", "sig" if i % 3 else "sig other") for i in range(240)], "id long, qname string, name string, doc string, signature string")
+    asked = spark.createDataFrame([(i, f"{'abcd'[i % 4]}_x sig") for i in range(60)] + [(99, "nothing")], "query_id long, query string")
+    got = rows(retrieval.symbol_search(asked, symbols))
+    index = retrieval.build(symbols, ("qname", "name", "doc", "signature"), extra="")
+    hits = retrieval.bm25(retrieval.term_phrases(asked, retrieval.T.symbol_terms(F.col("query")), ""), index).collect()
+    want = []
+    for q in range(60):
+        best = sorted((round(h.score, 9), h.id) for h in hits if h.query_id == q)[:10]
+        want += [(q, k + 1, i, round(s, 6)) for k, (s, i) in enumerate(best)]
+    assert [r[:3] for r in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, sorted(want)))
