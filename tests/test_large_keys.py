@@ -29,6 +29,14 @@ def test_implementers_by_shape(spark):
     assert rows(found.implementers(symbols, 4)) == rows(graph.implementers(found.pairs(), symbols, 4)) != []
 
 
+def test_dispatch_by_shape(spark):
+    _, found = shapes(spark)
+    calls = spark.createDataFrame([(12, "y", "Run"), (12, "x", "Run"), (12, "y", "Run"), (7, "z", "Run"), (8, "x", "Stop")], "caller long, shape string, method string")
+    methods = found.impls.select(F.col("impl").alias("id"), "impl", F.lit("Run").alias("method"))
+    pairs = calls.join(found.ifaces, "shape").select("caller", "iface", "method")
+    assert rows(found.dispatch(calls, methods)) == rows(graph.dispatch(pairs, found.pairs(), methods)) != []
+
+
 def most_rows(spark, run):
     """Result of ``run()`` and the most records that any of its stages shuffled."""
     store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
