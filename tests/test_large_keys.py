@@ -29,6 +29,11 @@ def test_implementers_by_shape(spark):
     assert rows(found.implementers(symbols, 4)) == rows(graph.implementers(found.pairs(), symbols, 4)) != []
 
 
+def test_names_by_shape(spark):
+    symbols, found = shapes(spark)
+    assert rows(found.named(symbols)) == rows(found.pairs().join(symbols, F.col("impl") == F.col("id")).select("iface", "qname")) != []
+
+
 def test_dispatch_by_shape(spark):
     _, found = shapes(spark)
     calls = spark.createDataFrame([(12, "y", "Run"), (12, "x", "Run"), (12, "y", "Run"), (7, "z", "Run"), (8, "x", "Stop")], "caller long, shape string, method string")
