@@ -8,7 +8,7 @@ from lessonlake.operators import graph as G
 from lessonlake.operators import retrieval as R
 from lessonlake.operators import scrub as P
 from lessonlake.operators import store as S
-from lessonlake.plans.graph_queries import _ask
+from lessonlake.plans.graph_queries import _ask, shapes
 from lessonlake.plans.registry import register
 from lessonlake.plans.retrieval_queries import _MEM_INDEX, _REQ, _bm25_sql, _phrase_sql
 from lessonlake.plans.views import cte, view
@@ -34,7 +34,7 @@ def i1_ingest(spark, sf_dir):
 register("i1_ingest", i1_ingest)
 register("i10_dry_run", lambda s, d: i1_ingest(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 register("i8_upsert", lambda s, d: S.upsert(view(s, d, "memories").withColumn("fingerprint", F.sha2("what", 256))).select("id", "origin", "created_at", "updated_at", "tags"), cte("SELECT min_by(id, created_at) AS id, min_by(origin, created_at) AS origin, min(created_at) AS created_at, max(updated_at) AS updated_at, max_by(tags, created_at) AS tags FROM memories GROUP BY sha256(what)"))
-register("g2_describe", lambda s, d: G.describe(_ask(view(s, d, "symbols")), view(s, d, "symbols"), view(s, d, "edges"), view(s, d, "implements")))
+register("g2_describe", lambda s, d: G.describe(_ask(view(s, d, "symbols")), view(s, d, "symbols"), view(s, d, "edges"), shapes(view(s, d, "symbols"))))
 register("g7_with_methods", lambda s, d: G.with_methods(view(s, d, "symbols").where("kind = 'type'").select("id", F.col("package").alias("qname")), view(s, d, "symbols").where("kind = 'method'").select(F.concat_ws(".", "package", F.replace("name", F.lit("."), F.lit("_"))).alias("qname"))).select("id"), cte("SELECT id FROM symbols t WHERE kind = 'type' AND EXISTS (SELECT 1 FROM symbols m WHERE m.kind = 'method' AND m.package = t.package)"))
 register("g8_edge_totals", lambda s, d: G.edge_totals(view(s, d, "symbols"), view(s, d, "edges"), True, 2), cte("SELECT callee AS id, count(DISTINCT caller) AS total FROM edges GROUP BY callee HAVING count(DISTINCT caller) > 2"))
 

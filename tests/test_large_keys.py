@@ -110,6 +110,13 @@ def test_paths_meet_in_the_middle(spark):
     assert sorted(len(r.path) for r in graph.shortest_path(asked, line).collect()) == list(range(1, 12))
 
 
+def test_hints_count_shapes(spark):
+    _, found = shapes(spark)
+    asked = spark.createDataFrame([(i, "interface") for i in range(4)], "id long, kind string")
+    edges = spark.createDataFrame([], "caller long, callee long")
+    assert rows(graph.hints(asked, edges, found)) == rows(graph.hints(asked, edges, found.pairs())) == [(0, "interface", 15), (1, "interface", 15), (2, "interface", 15), (3, "interface", 0)]
+
+
 def test_symbols_that_match_alike_are_scored_once(spark):
     symbols = spark.createDataFrame([(i, f"p.{'abcd'[i % 4]}_x", f"{'abcd'[i % 4]}_x", "", "sig" if i % 3 else "sig other") for i in range(240)], "id long, qname string, name string, doc string, signature string")
     asked = spark.createDataFrame([(i, f"{'abcd'[i % 4]}_x sig") for i in range(60)] + [(99, "nothing")], "query_id long, query string")
