@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lessonlake.operators import dedupe
+from lessonlake.operators import dedupe, retrieval
 
 
 def lessons(spark, texts):
@@ -33,3 +33,15 @@ def test_similar_pairs_from_few_candidates(spark, monkeypatch):
         want[("m070", "m075")] = 1.0
         assert got == want and len(want) > 8
         assert written["met-sets"] < 3 * len(want)
+
+
+def test_phrases_meet_whole_runs(spark, monkeypatch):
+    rows = lessons(spark, ["the a the b", "the the the", "b.c d", ""] + ["the x"] * 50)
+    index = retrieval.build(rows)
+    monkeypatch.setattr(index, "postings", None)  # places of single tokens are not read
+    phrases = retrieval.query_phrases(spark.createDataFrame([(1, "the.the the,the THE b.c c.d e.f"), (2, "a.the.b a")], "query_id int, query string"), index)
+    got = {(r.piece, r.id): r.tf for r in retrieval.match(phrases, index, retrieval.WEIGHTED).collect() if r.id < "m004"}
+    two, one = {("m001"): 2.0}, {"m000": 2.0, "m001": 3.0}
+    want = {(p, i): n for p, of in (("the.the", two), ("the,the", two), ("THE", one), ("b.c", {"m002": 1.0}), ("c.d", {"m002": 1.0}), ("a.the.b", {"m000": 1.0}), ("a", {"m000": 1.0})) for i, n in of.items()}
+    assert got == want
+    assert retrieval.match(phrases.where("query_id = 3"), index).collect() == []
