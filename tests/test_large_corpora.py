@@ -45,3 +45,12 @@ def test_phrases_meet_whole_runs(spark, monkeypatch):
     want = {(p, i): n for p, of in (("the.the", two), ("the,the", two), ("THE", one), ("b.c", {"m002": 1.0}), ("c.d", {"m002": 1.0}), ("a.the.b", {"m000": 1.0}), ("a", {"m000": 1.0})) for i, n in of.items()}
     assert got == want
     assert retrieval.match(phrases.where("query_id = 3"), index).collect() == []
+
+
+def test_ingest_redacts_in_one_pass(spark):
+    from lessonlake.operators import store
+
+    row = ("a", 1, "s", "t", "task_pattern", "", "what", "learned", "x", "personal", "manual")
+    rows = spark.createDataFrame([row, row], "id string, created_at long, session_id string, task_type string, kind string, title string, what string, learned string, tags string, scope string, origin string")
+    # a join of the texts with what their identifiers hold would make four rows of two requests
+    assert [tuple(r) for r in store.ingest(rows).select("id", "status", "error").collect()] == [("a", "invalid", "title:required")] * 2
