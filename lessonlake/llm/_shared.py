@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonlake.sources.shared import drop_table, materialize, shared_dir, shared_path
+from lessonlake.sources.shared import drop_table, filesystem, materialize, qualified, shared_dir, shared_path
 
 __all__ = ["LOWER", "WORD", "drop_table", "filesystem", "held_out", "materialize", "packed", "qualified", "read_table", "shared_dir", "shared_path", "texts", "word_count"]
 
@@ -33,22 +33,6 @@ def texts(batch: pa.RecordBatch) -> Iterator[str | None]:
         yield t.as_py()
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with the scheme that Spark resolves it to, for executors that open it without Hadoop."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-
-
-def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """The pyarrow file system of a qualified path, and the path in it."""
-    from pyarrow import fs
-
-    scheme, _, path = uri.partition(":")
-    if scheme == "file":
-        return fs.LocalFileSystem(), "/" + path.lstrip("/")
-    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

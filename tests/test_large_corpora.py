@@ -54,3 +54,16 @@ def test_ingest_redacts_in_one_pass(spark):
     rows = spark.createDataFrame([row, row], "id string, created_at long, session_id string, task_type string, kind string, title string, what string, learned string, tags string, scope string, origin string")
     # a join of the texts with what their identifiers hold would make four rows of two requests
     assert [tuple(r) for r in store.ingest(rows).select("id", "status", "error").collect()] == [("a", "invalid", "title:required")] * 2
+
+
+def test_pull_is_search_without_totals(spark, monkeypatch):
+    from lessonlake.operators import blocks
+
+    monkeypatch.setattr(blocks, "_ROWS", 64)
+    pick, words = random.Random(5), [f"w{int(1.15**i)}" for i in range(60)]
+    rows = lessons(spark, [" ".join(pick.choices(words, k=pick.randrange(1, 30))) for _ in range(300)] + ["w1 w1"] * 40).withColumn("learned", F.col("what"))
+    index = retrieval.build(rows)
+    asked = spark.createDataFrame([(i, " ".join(pick.choices(words, k=6)) + " w1.w1 w1 w1") for i in range(12)] + [(50, "none.such"), (51, "?")], "query_id int, query string")
+    want = retrieval.search(asked, rows, index, 10).drop("total")
+    assert sorted(map(tuple, retrieval.pull(asked, rows, index, 10).collect())) == sorted(map(tuple, want.collect()))
+    assert want.count() == 120
