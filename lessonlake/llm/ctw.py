@@ -38,6 +38,8 @@ DEPTH = 5
 TOP = 2
 #: Bytes of text that ask together, that are looked at together, and that there is a slot for.
 _BLOCK, _CHUNK, _SLOT = 24 << 20, 2 << 20, 16 << 20
+#: Sequences that wait for their merge.
+_PENDING = 2 << 20
 _END = b"\n"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SMALL = np.array([math.lgamma(k + 0.5) for k in range(256)])
@@ -103,8 +105,12 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with their counts added up."""
-    g, back = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_inverse=True)
-    return g, np.bincount(back, np.concatenate([np.empty(0, np.int64), *counts]), len(g)).astype(np.int64)
+    key, n = (np.concatenate([np.empty(0, np.int64), *x]) for x in (keys, counts))
+    # runs in order are merged; np.unique with its inverse holds half as much again
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1])[: len(key)])
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -159,7 +165,7 @@ class _Block:
             found = pc.value_counts(pa.array([w for t in mine for w in t.split()], pa.binary()))
             self.words.append(found.field("values"))
             self.word_n.append(np.zeros(len(found), np.int64) if kind else found.field("counts").to_numpy())
-        if len(self.grams) > 16:
+        if len(self.grams) > 16 or sum(map(len, self.grams[1:])) > _PENDING:
             self.grams, self.gram_n = ([x] for x in _merge(self.grams, self.gram_n))
 
     def asked(self, block: int, slots: int) -> Iterator[pa.RecordBatch]:
